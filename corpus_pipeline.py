@@ -4,11 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm.common import kept
+from gristmill.llm import bpe, mixing, neardup, quality
+from gristmill.llm.common import kept, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest doc_id."""
+    return neardup.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated or thinned out towards the square root of their size; all rows are shuffled."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, and digests of them and of what they decode to."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=tuple(c for c in docs.columns if c != "text"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", filter_quality),
+    ("minhash_near_dedup", remove_near_duplicates),
+    ("mixing_sources", mix_sources),
+    ("byte_bpe", encode),
+]
+#: SQL can express neither the classifier nor the encoding; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -8,10 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, mixing, warc
+from . import audio, bpe, fingerprint, licences, mixing, neardup, quality, warc, wrapper
 from .common import table
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+OP1_SQL = r"""
+WITH found AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+pieces AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', ' ', 'g')) AS parts FROM found),
+plain AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM pieces)
+SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text, length(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)))::BIGINT AS n_chars FROM plain
+"""
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as 8-bit audio, read back, with its features."""
     return audio.audio_features(table(spark, sf_dir, "documents"), with_media=False)
@@ -37,6 +50,42 @@ FROM rows LEFT JOIN last ON rows.html = last.html
 """
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates among all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (n + m - k)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = sets.doc_id AS kept FROM sets JOIN least USING (doc_id)
+"""
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact fingerprints of all documents and of their edited texts."""
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, given their sources and languages."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources, flattened to the square root of their size."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -65,8 +114,8 @@ OP9_SQL = mix_sql("documents", "doc_id, source, lang, n_chars, text, round(rate,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_byte_bpe, op4_warc, op9_mixing)}
+    return {f.__name__: f for f in (op1_main_text, op2_media_columns, op3_byte_bpe, op4_warc, op5_near_duplicates, op6_fingerprints, op7_quality, op8_licences, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_main_text": OP1_SQL, "op5_near_duplicates": OP5_SQL, "op4_warc": OP4_SQL, "op9_mixing": OP9_SQL}
