@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, fingerprint, licences, mixing, neardup, quality, warc, wrapper
+from . import audio, bpe, fingerprint, licences, mixing, neardup, pitman_yor, quality, warc, wrapper
 from .common import table
 
 
@@ -113,8 +113,13 @@ SELECT {columns} FROM copies
 OP9_SQL = mix_sql("documents", "doc_id, source, lang, n_chars, text, round(rate, 9) AS rate, replica, md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || replica) AS shuffle_key")
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents."""
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_media_columns, op3_byte_bpe, op4_warc, op5_near_duplicates, op6_fingerprints, op7_quality, op8_licences, op9_mixing)}
+    return {f.__name__: f for f in (op1_main_text, op2_media_columns, op3_byte_bpe, op4_warc, op5_near_duplicates, op6_fingerprints, op7_quality, op8_licences, op9_mixing, op10_pitman_yor)}
 
 
 def oracle_sql() -> dict[str, str]:
