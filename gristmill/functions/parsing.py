@@ -36,7 +36,7 @@ def round_half_up(value: Column, low: int = 1, high: int = 5) -> Column:
 def thinking(text: Column) -> Column:
     """The contents of all think blocks, a line break between them; null without any."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)<think>(.*?)</think>"), F.lit(1))
-    return F.when(F.size(found) > 0, F.array_join(F.transform(found, F.trim), "\n"))
+    return F.nullif(F.array_join(F.transform(found, lambda x: F.trim(x)), "\n"), F.lit(""))
 
 
 def without_thinking(text: Column) -> Column:
@@ -162,7 +162,10 @@ def from_file_name(name: Column, people: dict[str, str], places: dict[str, str])
     date = date_in(stem)
     stem = F.when(date.isNotNull(), F.regexp_replace(F.replace(stem, date, empty), r"^[\s_\-]+|[\s_\-]+$", "")).otherwise(stem)
     pieces = F.when(F.contains(stem, F.lit("_")), F.split(stem, "_")).otherwise(F.split(stem, r"\s*-\s*"))
-    pieces = F.filter(F.transform(pieces, F.trim), lambda p: (p != "") & ~F.rlike(p, F.lit(r"^\d+$")) & (F.size(F.split(p, r"\s+")) <= 4))
+    pieces = F.transform(pieces, lambda p: F.trim(p))
+    dashed = r"^\d{2}-\d{2}-\d{2,4}$"  # after an underscore, where no word begins, a date is a piece of its own
+    date = F.coalesce(date, F.get(F.filter(pieces, lambda p: F.rlike(p, F.lit(dashed))), F.lit(0)))
+    pieces = F.filter(pieces, lambda p: ~F.rlike(p, F.lit(dashed)) & (p != "") & ~F.rlike(p, F.lit(r"^\d+$")) & (F.size(F.split(p, r"\s+")) <= 4))
     who, where = F.transform(pieces, lambda p: person(p, people)), F.transform(pieces, lambda p: known(p, places))
     rest = F.filter(pieces, lambda p: person(p, people).isNull() & known(p, places).isNull())
     first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), F.lit(0))

@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import agreement, answers, joins, judging, parsing, reports, retrieval, windows  # noqa: F401
+    from . import agreement, answers, files, joins, judging, parsing, reports, retrieval, windows  # noqa: F401

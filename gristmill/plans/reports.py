@@ -171,10 +171,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_run_overview", f"SELECT run, items, round_even(100e0 * done / nullif(done + failed, 0), 2) AS success_rate, epoch(ended) - epoch(started) AS duration_s FROM (SELECT {RUNS}, max(o_orderdate) AS ended FROM orders GROUP BY o_custkey)")
 def agg_run_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs(spark, sf_dir).select("run", "items", op.success_rate(F.col("done"), F.col("failed")).alias("success_rate"), (F.unix_micros("ended") - F.unix_micros("started")).cast("double").alias("d")).select("run", "items", "success_rate", (F.col("d") / 1e6).alias("duration_s"))
+    return runs(spark, sf_dir).select("run", "items", op.success_rate(F.col("done"), F.col("failed")).alias("success_rate"), (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))).cast("double").alias("d")).select("run", "items", "success_rate", (F.col("d") / 1e6).alias("duration_s"))
 
 
-@query("agg_timeline", f"SELECT run, started::VARCHAR[:10] AS day, greatest(8, least(30, 2 * items)) AS marker FROM (SELECT {RUNS} FROM orders GROUP BY o_custkey)")
+@query("agg_timeline", f"SELECT run, (started::VARCHAR)[:10] AS day, greatest(8, least(30, 2 * items)) AS marker FROM (SELECT {RUNS} FROM orders GROUP BY o_custkey)")
 def agg_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).filter("started is not null").orderBy("started", "run").select("run", F.date_format("started", "yyyy-MM-dd").alias("day"), F.greatest(F.lit(8), F.least(F.lit(30), 2 * F.col("items"))).alias("marker"))
 
