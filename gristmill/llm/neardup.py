@@ -71,10 +71,10 @@ def word_hashes(data: bytes) -> np.ndarray:
                 later = np.flatnonzero(SPACE[raw[end:]])
                 end = end + int(later[0]) if len(later) else len(raw)
                 pieces = [word_hashes_in(LOWER[raw[i : min(end, i + BLOCK - 1)]]) for i in range(at, end, BLOCK - 1)]
-                h = np.uint64(len(pieces))
+                h = np.array([len(pieces)], np.uint64)
                 for p in pieces:
-                    h = mix(np.atleast_1d(h * np.uint64(P) + p[0]))[0]
-                out.append(np.array([h], np.uint64))
+                    h = mix(h * np.uint64(P) + p)
+                out.append(h)
                 at = end
                 continue
         out.append(word_hashes_in(LOWER[raw[at:end]]))

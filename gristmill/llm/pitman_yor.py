@@ -121,8 +121,8 @@ def dealt(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 def block_number(ids: list, w: np.ndarray) -> int:
     """A number for a block of documents that a repeated task gives again."""
     own = np.array([0 if i is None else i + 1 for i in ids], np.int64).view(np.uint64)
-    total = np.add.reduce(mix(own + np.arange(len(ids), dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))) + np.add.reduce(mix(w ^ np.uint64(3)))
-    return int(mix(np.atleast_1d(total))[0] >> np.uint64(1))
+    parts = mix(own + np.arange(len(ids), dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)), mix(w ^ np.uint64(3))
+    return int(mix(np.add.reduce(np.concatenate(parts), keepdims=True))[0] >> np.uint64(1))
 
 
 def merged(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that come in rows: sisters of one label are one slot, as are so many of any other element (with a class).
+REPEATED, MANY = frozenset("p li tr td th dt dd option blockquote pre h2 h3 h4 h5 h6 figure img hr".split()), 4
 #: What an open element is closed by.
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split()),
@@ -136,7 +139,7 @@ def tidy(text: str) -> str:
 
 
 def slots(node: Node, where: dict[int, int] | None = None, order: list[Slot] | None = None) -> Slot:
-    """The page as a template of one page. Sisters in a row with one label are one slot. where: slot number by node."""
+    """The page as a template of one page; sisters in a row may share a slot. where: slot number by node."""
     return run_of([node], where, order)
 
 
@@ -149,14 +152,12 @@ def run_of(nodes: list[Node], where: dict[int, int] | None, order: list[Slot] |
             where[id(n)] = len(order)
         order.append(out)
     if not nodes[0].skip:
-        group: list[Node] = []
-        for n in (c for x in nodes for c in block_children(x)):
-            if group and group[0].label != n.label:
+        for _, group in groupby((c for x in nodes for c in block_children(x)), key=lambda n: n.label):
+            group = list(group)
+            if group[0].tag in REPEATED or len(group) >= (MANY if "." in group[0].label else 10 * MANY):
                 out.below.append(run_of(group, where, order))
-                group = []
-            group.append(n)
-        if group:
-            out.below.append(run_of(group, where, order))
+            else:
+                out.below += [run_of([n], where, order) for n in group]
     return out
 
 
