@@ -14,14 +14,15 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import prepare, release
 
 #: Words that a worker remembers with their ids (about 200 bytes each); beyond that it forgets them. Results don't depend on it.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 class Vocabulary:
@@ -162,6 +163,10 @@ class Encoder:
             self.words[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.vocabulary.known_fits.clear()
+
     def plain(self, text: str) -> bytes:
         return b"".join([self.word(x) if x[0] == " " and not x[-1].isspace() else self.match(x) for x in self.pattern.findall(text)])
 
@@ -226,11 +231,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 decoded_sha.append(hashlib.sha256(data).hexdigest())
                 if with_ids:
-                    ids.append(memoryview(packed).cast("I").tolist())
+                    ids.append(packed)
                     decoded.append(data.decode())
             more = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             if with_ids:
-                more += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                offsets = pa.array(np.cumsum([0, *n], dtype=np.int32))
+                more += [pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + more, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
+        own.forget()
+        release()
 
     return kept.mapInArrow(run, schema)

@@ -13,14 +13,33 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Rows that go to a Python worker at once; texts may be long, so Spark's default is too many.
+BATCH_ROWS = 1000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package; on a cluster it is installed or sent with --py-files."""
+    """Let Python workers import this package (on a cluster it is installed or sent with --py-files), and bound their batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def release() -> None:
+    """Give memory that a finished task of this worker has freed back to the system; the worker may idle on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ CLASSES = 1024
 START = CLASSES
 END = np.uint64(0x5EED5EED5EED5EED)
 #: Text that is packed together, and text whose tokens one bucket holds, in bytes.
-BLOCK_BYTES, BUCKET_BYTES, BLOCK_DOCS = 8 << 20, 16 << 20, 8192
+BLOCK_BYTES, BUCKET_BYTES, BLOCK_DOCS = 8 << 20, 8 << 20, 8192
 #: Words that are a larger share of a sample are dealt over all buckets. Which words these are doesn't change results.
 HOT_SHARE, HOT_MOST, HOT_DOCS = 1 / 1000, 256, 2000
 ROUNDS, SAMPLES = 3, 2

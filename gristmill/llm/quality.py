@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, kept, prepare
+from .common import broadcast_if_small, kept, prepare, release
 
 #: The classifier is fitted on at most so many labelled documents, those of the least hashes.
 FIT_ROWS = 20_000
@@ -101,6 +101,7 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column, text: st
         for b in batches:
             x = np.array([measures(t.as_py()) for t in b.column(b.num_columns - 1)]).reshape(b.num_rows, len(MEASURES))
             yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(model.logit(x))], names=[*b.schema.names[:-1], "logit"])
+        release()
 
     return rows.mapInArrow(run, schema)
 
