@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, kept, prepare
+from .common import broadcast_if_small, kept, prepare, release
 
 WORDS = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -157,6 +157,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
                 arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([whole(s) for s in sets], pa.binary()), arrays], names=["id", "n", "whole", "shingles"])
+        release()
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, whole binary, shingles array<long>")
 
@@ -172,6 +173,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows.append((len(s), whole(s), signature(s).tobytes(), bitmap(s).tobytes()))
             more = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *more], names=["id", "n", "whole", "sign", "bits"])
+        release()
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, whole binary, sign binary, bits binary")
 
@@ -307,7 +309,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = kept(sketches(docs), "sketches")
     full = rows.filter("n > 0 and id is not null")
-    classes = full.groupBy("n", "whole").agg(F.min("id").alias("class"))
+    # written, so that a join with it has an exchange of its own, whose hot groups of copies Spark can split
+    classes = kept(full.groupBy("n", "whole").agg(F.min("id").alias("class")), "sets-of-copies")
     one = classes.groupBy("class").agg(F.min("whole").alias("whole"))  # a key repeated with several texts stands for one
     heads = kept(full.join(one.withColumnRenamed("class", "id"), ["id", "whole"], "left_semi").dropDuplicates(["id"]), "classes")
     keys = keys_of(heads)
