@@ -27,6 +27,8 @@ LONG, BITS = 128, 1024
 #: Pairs further apart than this in the longer signature aren't confirmed: at the limit of similarity one in 10^9 is.
 FAR = 44
 BLOCK = 1 << 20
+#: Classes of copies that hold at least one in so many of all rows have their rows joined without an exchange.
+HOT_CLASSES = 1000
 #: Members of a bucket that are compared in one go; larger buckets are compared block by block, in different tasks.
 SIDE = 512
 
@@ -309,8 +311,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = kept(sketches(docs), "sketches")
     full = rows.filter("n > 0 and id is not null")
-    # written, so that a join with it has an exchange of its own, whose hot groups of copies Spark can split
-    classes = kept(full.groupBy("n", "whole").agg(F.min("id").alias("class")), "sets-of-copies")
+    classes = kept(full.groupBy("n", "whole").agg(F.min("id").alias("class"), F.count("*").alias("copies")), "sets-of-copies")
     one = classes.groupBy("class").agg(F.min("whole").alias("whole"))  # a key repeated with several texts stands for one
     heads = kept(full.join(one.withColumnRenamed("class", "id"), ["id", "whole"], "left_semi").dropDuplicates(["id"]), "classes")
     keys = keys_of(heads)
@@ -322,11 +323,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links = links.union(confirmed(residual(shared, components(links), slim, spark), docs, heads))
     found = components(links)
     comps = found.withColumnsRenamed({"id": "class", "component": "__component"})
-    member = rows.select("id", "n", "whole").join(classes, ["n", "whole"], "left").join(comps, "class", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("__component", "class")).otherwise(F.col("id"))
+    of_class = classes.join(comps, "class", "left").select("n", "whole", "copies", F.coalesce("__component", "class").alias("__component"))
+    member = with_class(rows.select("id", "n", "whole"), kept(of_class, "components-of-copies"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("__component")).otherwise(F.col("id"))
     return member.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows(id, n, whole) with __component of their class in classes(n, whole, copies, __component).
+
+    Classes of at least one in HOT_CLASSES of all rows, which are at most so many, are broadcast, so that their rows stay
+    where they are; all others are joined by an exchange.
+    """
+    least = -(-(classes.agg(F.sum("copies")).first()[0] or 0) // HOT_CLASSES)
+    hot = classes.filter(F.col("copies") >= least).select("n", "whole", F.col("__component").alias("__hot"))
+    tagged = rows.join(F.broadcast(hot), ["n", "whole"], "left")
+    cold = classes.filter(F.col("copies") < least).select("n", "whole", "__component")
+    other = tagged.filter("__hot is null").drop("__hot").join(cold, ["n", "whole"], "left")
+    return tagged.filter("__hot is not null").withColumnRenamed("__hot", "__component").unionByName(other)
+
+
 def sieved(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     """pairs(a, b) without those that can't be links."""
     left = slim.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sign").alias("s"), F.col("bits").alias("p"))
