@@ -29,8 +29,9 @@ from .neardup import mix, word_hashes
 CLASSES = 1024
 START = CLASSES
 END = np.uint64(0x5EED5EED5EED5EED)
-#: Text that is packed together, and text whose tokens one bucket holds, in bytes.
-BLOCK_BYTES, BUCKET_BYTES, BLOCK_DOCS = 8 << 20, 8 << 20, 8192
+#: Text that is packed together, and text whose tokens one bucket holds, in bytes. A block sends a row to each bucket, so
+#: what is shuffled besides tokens grows as the input over either size.
+BLOCK_BYTES, BUCKET_BYTES, BLOCK_DOCS = 16 << 20, 16 << 20, 16384
 #: Words that are a larger share of a sample are dealt over all buckets. Which words these are doesn't change results.
 HOT_SHARE, HOT_MOST, HOT_DOCS = 1 / 1000, 256, 2000
 ROUNDS, SAMPLES = 3, 2
