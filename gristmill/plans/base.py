@@ -76,10 +76,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """As EDGES_SQL, whose edges are those of one order in forty; whole: those of all orders."""
     t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem").filter("l_orderkey % 40 = 0")
-    bought = t("orders").filter("o_orderkey % 40 = 0").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t("lineitem") if whole else t("lineitem").filter("l_orderkey % 40 = 0")
+    bought = (t("orders") if whole else t("orders").filter("o_orderkey % 40 = 0")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     parts = [
         t("nation").selectExpr("concat('n', n_nationkey) AS src", "concat('r', n_regionkey) AS dst", "'has_concept' AS relation", "'Concept' AS type"),
         t("customer").selectExpr("concat('c', c_custkey)", "concat('n', c_nationkey)", "'has_concept'", "'Concept'"), t("supplier").selectExpr("concat('s', s_suppkey)", "concat('n', s_nationkey)", "'has_concept'", "'Concept'"),
