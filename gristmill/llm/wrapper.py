@@ -282,7 +282,8 @@ def verdict(root: Slot) -> tuple[Slot, set[int]]:
 
     With two or more pages that differ, measured by varying text, else by all text. An article or main element that
     has half of it is the article; else it is the deepest node that has most of it. A constant slot in it is template
-    if three pages or more have it and most of the article's text varies; headings are the page's own.
+    if three pages or more and most of those that have the article have it, and most of the article's text varies;
+    headings are the page's own.
     """
     measure = varying if varying(root) else written
     total = measure(root)
@@ -300,7 +301,7 @@ def verdict(root: Slot) -> tuple[Slot, set[int]]:
             best = step
     fixed: set[int] = set()
     if 2 * varying(best) > written(best):
-        fixed = {id(s) for s in numbered(best, []) if s is not best and s.text and s.pages >= 3 and s.label.split(".")[0] not in ("h1", "h2", "h3", "h4", "h5", "h6") and not varying(s)}
+        fixed = {id(s) for s in numbered(best, []) if s is not best and s.text and s.pages >= 3 and 2 * s.pages > best.pages and s.label.split(".")[0] not in ("h1", "h2", "h3", "h4", "h5", "h6") and not varying(s)}
     return best, fixed
 
 
@@ -383,10 +384,19 @@ def fold(rows: Iterable[tuple[str, str]], aligner: Aligner) -> dict[str, Slot]:
     return out
 
 
+def once_each(rows: DataFrame) -> DataFrame:
+    """rows(host, html) without repeats. Only rows whose hash occurs again in their host are exchanged whole."""
+    hashed = rows.withColumn("__hash", F.xxhash64("html"))
+    again = kept(hashed.groupBy("host", "__hash").agg(F.count("*").alias("__n")).filter("__n > 1").select("host", "__hash"), "repeats")
+    again = broadcast_if_small(again, again.count(), 100_000)
+    alone = hashed.join(again, ["host", "__hash"], "left_anti").select("host", "html")
+    return alone.union(hashed.join(again, ["host", "__hash"], "left_semi").select("host", "html").distinct())
+
+
 def induce(pages: DataFrame, url: str = "url", html: str = "html", salts: int = 16) -> DataFrame:
-    """(host, template) of all pages. Each task folds the pages of its batches, then salted groups, then hosts are merged."""
+    """(host, template) of all pages, copies within a host counted once. Each task folds the pages of its batches, then salted groups, then hosts are merged."""
     prepare(pages.sparkSession)
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
+    rows = once_each(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")))
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner()
@@ -409,9 +419,9 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html", salts: int =
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns `keep`, text (the main text; '' for null, empty or textless pages) and n_chars of every page.
 
-    A host's pages are read twice: once to induce its template, once to extract. Templates are small (a bounded number
-    of nodes) and joined by host; a page without a host has the host ''. Repeated rows are extracted again and count
-    as pages of their host; a host of one page, or of copies of one, has no varying slots and is judged by its marks.
+    A host's pages are read three times or four: to find copies, to induce its template, to extract. Templates are small (a bounded number
+    of nodes) and joined by host; a page without a host has the host ''. Repeated rows are extracted again but
+    count once as pages of their host; a host of one page, or of copies of one, has no varying slots and is judged by its marks.
     """
     templates = kept(induce(pages, url, html), "templates")
     n = templates.count()

@@ -157,6 +157,18 @@ def test_without_marks_what_varies_is_the_text(spark):
         assert r["text"].startswith(f"Story {r['page_id']} ") and "Home" not in r["text"] and "Rome" not in r["text"] and r["text"].endswith(f"More {r['page_id']}")
 
 
+def test_a_block_that_few_pages_share_is_the_articles(spark):
+    same = {"quote": "<blockquote><p>The same quotation</p></blockquote>", "table": "<table><tr><td>Same cell</td></tr></table>", "pre": "<pre>same code</pre>"}
+    story = lambda i, more="": f"<body><article><h1>Title {i}</h1><p>Story {i} {'word ' * (30 + i)}</p>{more}<p>More {i}</p><div>Printed in Rome</div></article></body>"
+    rows = [(i, "http://q.org/x", story(i, same["quote"] if i < 3 else same["table"] if i < 6 else "")) for i in range(20)]
+    # most rows of the host are copies of one page
+    rows += [(100 + i, "http://c.org/x", story(1, same["pre"])) for i in range(5)] + [(200 + i, "http://c.org/x", story(2 + i)) for i in range(3)]
+    text = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(text) == len(rows) and not any("Rome" in t for t in text.values())
+    for i, _, html in rows:
+        assert [x in text[i] for x in ("The same quotation", "Same cell", "same code")] == [x in html for x in ("The same quotation", "Same cell", "same code")]
+
+
 def test_templates_merge_in_any_split():
     pages = [page(i, f"<p>Text {i}</p>") for i in range(8)]
     whole = wrapper.fold([("h", p) for p in pages], wrapper.Aligner())["h"]
