@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import wave
 import zlib
 from collections.abc import Iterable, Iterator
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import prepare, release, shared_dir
 
 UNIT = 576
 RATE = 12_000
@@ -203,3 +204,78 @@ def tensor_array(values: list, s: Settings = DEFAULT) -> pa.Array:
     kind = pa.fixed_shape_tensor(pa.float32(), [s.frames, s.bands])
     flat = pa.array(np.concatenate([np.asarray(v, np.float32) for v in values]) if values else np.empty(0, np.float32))
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, s.frames * s.bands))
+
+
+#: Rows whose media and tensors are held at once.
+AT_ONCE = 128
+
+
+def tensors_to_stream(f: Features, s: Settings = DEFAULT) -> bytes:
+    """An Arrow stream of start_s, end_s and tensor (frames x bands, of Arrow's fixed-shape tensor type), a row for each window."""
+    second, over = s.hop / (s.rate * s.up / s.down), (s.frame - s.hop) / (s.rate * s.up / s.down)
+    at = np.arange(len(values := f.tensors(s))) * s.stride
+    columns = [pa.array(at * second), pa.array((at + s.frames) * second + over), tensor_array([values.ravel()], s)]
+    batch, out = pa.RecordBatch.from_arrays(columns, names=["start_s", "end_s", "tensor"]), io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue()
+
+
+def features_from_stream(tensors: bytes, spans: list[dict], samples: int, s: Settings = DEFAULT) -> Features:
+    """The features of so many samples from their stored tensors and segments; windows overlap, and what fills up the last goes."""
+    second, over = s.hop / (s.rate * s.up / s.down), (s.frame - s.hop) / (s.rate * s.up / s.down)
+    with pa.ipc.open_stream(tensors) as r:
+        x = r.read_next_batch().column("tensor").to_numpy_ndarray()
+    n = max(1, -(-(-(-samples * s.up // s.down) - s.frame) // s.hop) + 1)
+    mel = np.concatenate([x[:-1, : s.stride].reshape(-1, s.bands), x[-1]])[:n]
+    return Features(mel, np.array([(round(p["start_s"] / second), round((p["end_s"] - over) / second)) for p in spans], np.int64).reshape(-1, 2))
+
+
+def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), s: Settings = DEFAULT) -> DataFrame:
+    """The columns `keep`, n_bytes, media (the WAV file), segments (array of start_s, end_s) and tensors (an Arrow stream).
+
+    Written as a table in the shared folder and read back. Null, empty and repeated texts as in audio_features.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    kept = docs.select(*keep, docs[text].alias("__text"))
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema.fields[:-1])}, n_bytes long, media binary, segments array<struct<start_s:double,end_s:double>>, tensors binary"
+    types = [pa.int64(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.binary()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract, second, over = Extractor(s), s.hop / (s.rate * s.up / s.down), (s.frame - s.hop) / (s.rate * s.up / s.down)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part, rows = batch.slice(at, AT_ONCE), []
+                for value in part.column(part.num_columns - 1):
+                    payload = payload_of(value := value.as_py())
+                    f = extract(payload)
+                    rows.append((len((value or "").encode()), to_wave(payload, s.rate), [{"start_s": a * second, "end_s": b * second + over} for a, b in f.spans.tolist()], tensors_to_stream(f, s)))
+                yield pa.RecordBatch.from_arrays(part.columns[:-1] + [pa.array([r[i] for r in rows], types[i]) for i in range(4)], names=[*keep, "n_bytes", "media", "segments", "tensors"])
+        release()
+
+    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    out = kept.mapInArrow(run, schema)
+    out.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def read_back(stored: DataFrame, keep: tuple[str, ...] = ("doc_id",), s: Settings = DEFAULT) -> DataFrame:
+    """The columns of audio_features without media, each but n_bytes from what store() has written."""
+    prepare(stored.sparkSession)
+    rows = stored.select(*keep, "n_bytes", "media", "segments", "tensors")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields[: len(keep) + 1])}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for media, spans, tensors in zip(*batch.columns[-3:], strict=True):
+                media = media.as_py()
+                back, _ = from_wave(media)
+                f = features_from_stream(tensors.as_py(), spans.as_py(), len(back), s)
+                found.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), f.digest()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-3] + [pa.array([r[i] for r in found], types[i]) for i in range(6)], names=[*keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        release()
+
+    return rows.mapInArrow(run, schema)

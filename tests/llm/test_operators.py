@@ -10,11 +10,15 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from gristmill.llm import audio, bpe, fingerprint, licences, mixing, neardup, pitman_yor, quality, warc, wrapper
+from gristmill.llm import queries as llm_queries
+
+from ..conftest import SF
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -113,6 +117,27 @@ def test_audio_store_and_features(spark):
     assert got[8]["feature"] == got[9]["feature"]
 
 
+def test_stored_media_and_tensors_give_the_digests(spark, monkeypatch):
+    texts = [*ODD, "b" * 576, "same", "same", words(random.Random(3), 4000)]
+    d = docs(spark, list(enumerate(texts)), "clash")
+    stored = audio.store(d)
+    extract = audio.Extractor()
+    for r in stored.collect():
+        f = extract(audio.from_wave(r["media"])[0])
+        t = pa.ipc.open_stream(r["tensors"]).read_all()
+        assert t.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), [audio.DEFAULT.frames, audio.DEFAULT.bands])
+        assert (t.column("tensor").chunk(0).to_numpy_ndarray() == f.tensors(audio.DEFAULT)).all() and len(r["segments"]) == len(f.spans)
+        span = [x["end_s"] - x["start_s"] for x in t.select(["start_s", "end_s"]).to_pylist()]
+        assert span == pytest.approx([(15 * 128 + 256) / 8000] * len(span))
+    by_id = lambda x: sorted(map(tuple, x.collect()))
+    assert by_id(audio.read_back(stored)) == by_id(audio.audio_features(d, with_media=False))
+    assert audio.read_back(audio.store(d.limit(0))).count() == 0
+    # the query takes its way through the store
+    seen, keep = [], audio.store
+    monkeypatch.setattr(audio, "store", lambda x: seen.append(keep(x)) or seen[-1])
+    assert llm_queries.op2_media_columns(spark, SF).count() == seen[0].count() > 0
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(12000) / 12000
     out = audio.resample(np.sin(2 * np.pi * 300 * t).astype(np.float32), 2, 3, 12)
