@@ -34,12 +34,15 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Licensed under the GPL, version 2 or later.",
+        "Licensed under the GPLv2 or later.",
+        "Released under the GPLv3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "Licensed under the LGPL, version 3.",
+        "Licensed under the LGPLv3 or later.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
     "bsd": [
@@ -87,8 +90,8 @@ OTHERS = [
     "The copyright office moved to another town.", "They reserved two rooms under the name of the company.", "The apache tribe lived in the south.", "A version of the story was released to the press.",
     "The work of the public library is known far and wide.", "The terms of the contract were changed without notice.", "The fishing license costs ten and is sold in every shop.",
 ]
-#: A paragraph without any of these words is no licence notice and needs no score.
-CUES = ["licen[sc]e", "licensed", "copyright", "warrant", "all rights reserved", "public domain", "redistribut", "permission", "proprietary", "spdx", "creative commons", "\\bcc[ -]by\\b", "\\bcc0\\b", "\\b[al]?gpl\\b", "governed by", "unencumbered"]
+#: Frequent words of running text, which by themselves name no licence (German has the word "mit").
+COMMON = "mit der die das und von zu den ein ist auf nicht sich que los las para con por una del se en le la les des et un une est dans pour sur au qui this that the of to and in is it or as by at an are was be for with not from you may any no all".split()
 WORD = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 NONE, UNKNOWN = "none", "unknown"
 
@@ -121,20 +124,29 @@ class Model:
 
 
 def examples(seed: int, copies: int) -> list[tuple[str, str]]:
-    """Paragraphs of each family: its templates, cut, with words left out or put in, and with other words around them."""
+    """Paragraphs of each family: its templates, whole or a line's length of them, with words left out or put in, and with other words around them.
+
+    Those of no family are of other sentences' words and of common words, short and long.
+    """
     draw = random.Random(seed)
     filler = [w for s in OTHERS for w in words_of(s)] + ["zu", "der", "que", "les", "para", "thnd", "erer"]
     out = []
     for family, notices in [*TEMPLATES.items(), (NONE, OTHERS)]:
         for notice in notices:
             for _ in range(copies if family != NONE else copies // 2):
-                words = [w for w in words_of(notice) if draw.random() > 0.06] or words_of(notice)
+                words = words_of(notice)
+                if family != NONE and len(words) > 12 and draw.random() < 0.3:
+                    at = draw.randrange(len(words) - 7)
+                    words = words[at : at + draw.randrange(8, 13)]
+                words = [w for w in words if draw.random() > 0.06] or words
                 for _ in range(draw.choice((0, 0, 1, 2))):
                     words.insert(draw.randrange(len(words) + 1), draw.choice(filler))
                 around = [draw.choice(filler) for _ in range(draw.choice((0, 0, 3, 8)))]
                 out.append((family, " ".join(around + words if draw.random() < 0.5 else words + around)))
-    for _ in range(copies * 8):
-        out.append((NONE, " ".join(draw.choice(filler) for _ in range(draw.randrange(3, 20)))))
+    for k in range(copies * 24):
+        known = (filler, COMMON + filler[:40], COMMON)[k % 3]
+        out.append((NONE, " ".join(draw.choice(known) for _ in range(draw.choice((draw.randrange(1, 4), draw.randrange(3, 20), draw.randrange(20, 150)))))))
+    out += [(NONE, " ".join(["mit"] * k)) for k in (1, 2) for _ in range(copies)]
     draw.shuffle(out)
     return out
 
@@ -168,7 +180,7 @@ def train(seed: int = 3, copies: int = 16, rounds: int = 12, ridge: float = 1e-4
 
 
 def classify_paragraph(paragraph: Column, model: Model) -> Column:
-    """struct(family, probability, similarity, confirmed) of a paragraph that holds a cue."""
+    """struct(family, probability, similarity, confirmed) of a paragraph."""
     table = F.create_map(*(x for g, w in model.weights.items() for x in (F.lit(g), F.array(*map(F.lit, w)))))
     words = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({WORD})"), F.lit(1))
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
@@ -198,15 +210,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model
 
     licences is an array of (paragraph, text, family, probability, similarity, confirmed), one for each paragraph
     that names a licence, of a known family or unknown. Paragraphs are lines; a null or empty text has none. All of a
-    text is read; whoever holds no cue is settled by one search. No shuffle; repeated rows are scanned again.
+    text is read and every line is scored. No shuffle; repeated rows are scanned again.
     """
     model = model or train()
-    cue = "(?i)" + "|".join(CUES)
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("paragraph"), x.alias("text"))), lambda x: F.rlike(x["text"], F.lit(cue)))
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("paragraph"), x.alias("text"))), lambda x: F.trim(x["text"]) != "")
     judged = F.transform(lines, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["text"].alias("text"), classify_paragraph(x["text"], model).alias("c")))
     named = F.transform(F.filter(judged, lambda x: x["c"]["family"] != NONE), lambda x: F.struct(x["paragraph"], x["text"], *(x["c"][c].alias(c) for c in ("family", "probability", "similarity", "confirmed"))))
-    empty = F.array().cast("array<struct<paragraph:int,text:string,family:string,probability:double,similarity:double,confirmed:boolean>>")
-    rows = docs.select(F.col(key), F.size(F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")).alias("n_paragraphs"), F.when(F.rlike(body, F.lit(cue)), named).otherwise(empty).alias("licences"))
+    rows = docs.select(F.col(key), F.size(F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")).alias("n_paragraphs"), named.alias("licences"))
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",")
     return rows.select(key, "n_paragraphs", F.size("licences").alias("n_licences"), families.alias("families"), "licences")

@@ -362,6 +362,13 @@ def test_licences(spark):
     assert licences.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_notices_without_the_usual_words_are_scored(spark):
+    texts = [(1, "Distributed under GPLv3 or later"), (2, "Dual use under Apache-2.0 or MIT"), (3, "x\nNo part of this publication may be reproduced"), (4, "Unless required by applicable law or agreed to in writing, software"), (5, "Er kam mit der Bahn und mit dem Rad.\nWir fahren mit.")]
+    got = {r["doc_id"]: r["families"] for r in licences.scan(docs(spark, texts)).collect()}
+    # two families at once may be named as unknown
+    assert got[1] == "gpl" and got[2] in ("apache", "mit", "unknown") and got[3] == "proprietary" and got[4] == "apache" and got[5] == ""
+
+
 def test_licence_model_on_other_paragraphs():
     model, hits, total = licences.train(), 0, 0
     for family, text in licences.examples(77, 6):
