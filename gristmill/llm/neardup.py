@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ LONG, BITS = 128, 1024
 #: Pairs further apart than this in the longer signature aren't confirmed: at the limit of similarity one in 10^9 is.
 FAR = 44
 BLOCK = 1 << 20
+#: Bytes from which on a word is hashed by itself.
+LONG_WORD = 256
 #: Classes of copies that hold at least one in so many of all rows have their rows joined without an exchange.
 HOT_CLASSES = 1000
 #: Members of a bucket that are compared in one go; larger buckets are compared block by block, in different tasks.
@@ -69,14 +72,10 @@ def word_hashes(data: bytes) -> np.ndarray:
             cut = np.flatnonzero(SPACE[raw[at:end]])
             if len(cut):
                 end = at + int(cut[-1]) + 1
-            else:  # a word longer than a block: hashed by itself
+            else:  # a word longer than a block
                 later = np.flatnonzero(SPACE[raw[end:]])
                 end = end + int(later[0]) if len(later) else len(raw)
-                pieces = [word_hashes_in(LOWER[raw[i : min(end, i + BLOCK - 1)]]) for i in range(at, end, BLOCK - 1)]
-                h = np.array([len(pieces)], np.uint64)
-                for p in pieces:
-                    h = mix(h * np.uint64(P) + p)
-                out.append(h)
+                out.append(np.array([long_hash(LOWER[raw[at:end]])], np.uint64))
                 at = end
                 continue
         out.append(word_hashes_in(LOWER[raw[at:end]]))
@@ -92,7 +91,15 @@ def word_hashes_in(b: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(OWN[b] * UP[: len(b)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * DOWN[start] + (end - start).astype(np.uint64))
+    out = mix((sums[end] - sums[start]) * DOWN[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        out[i] = long_hash(b[start[i] : end[i]])
+    return out
+
+
+def long_hash(b: np.ndarray) -> int:
+    """Long words can be made to collide under a polynomial modulo a power of two, so they have another hash."""
+    return xxhash.xxh3_64_intdigest(b.tobytes(), 1)
 
 
 def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:

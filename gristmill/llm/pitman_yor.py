@@ -1,13 +1,16 @@
 """A hierarchical Pitman-Yor language model of words.
 
-Three levels: the word given a class of the word before it (one restaurant for each of CLASSES hash classes, and one
-for the start), the word by itself (the parent that these restaurants share), and a uniform base over the words of
-training and one that stands for all others. Customers are seated by Gibbs rounds: in each, every restaurant's
-customers of a word are seated anew given how all the others sat after the round before. Draws are hashed from the
-word, the class, the customer and the round, so they don't depend on partitions or retries, and a task can repeat
-earlier rounds from their totals alone. Scores average the predictive probabilities of the last rounds.
-
-Tokens travel once, packed into arrays, to the bucket of their word, where counting, seating and scoring take place.
+Three levels: a restaurant for each word that stands before another (and one for the start of a text), the restaurant
+of single words that all of these share as parent, and a uniform base over the words of training and one that stands
+for all others. How many tables the customers of a word take in a restaurant is drawn by Gibbs sampling: its customers
+are taken out and reseated together, given how all the others sit. Scores average the predictive probabilities of
+several seatings.
+
+Tokens travel once, as cells (word before, word, count) of a block of documents, to the bucket of the word before.
+There the restaurants of that bucket are seated. Between sweeps buckets send how many tables each word has, and get
+back its customers and tables in the parent; a round's sweeps keep to the parent as it was at the start of the round.
+Contexts that hold more than a quarter of a bucket are split by word, and their totals exchanged in the same way.
+Draws are hashed from words and rounds, so they don't depend on partitions or retries.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import math
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,48 +27,49 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, prepare
+from .common import drop_kept, kept, prepare, release
 from .neardup import mix, word_hashes
 
-CLASSES = 1024
-START = CLASSES
-END = np.uint64(0x5EED5EED5EED5EED)
-#: Text that is packed together, and text whose tokens one bucket holds, in bytes. A block sends a row to each bucket, so
-#: what is shuffled besides tokens grows as the input over either size.
+START, END = np.uint64(0x57A2757A2757A275), np.uint64(0x5EED5EED5EED5EED)
+#: Text that is packed together, and text whose tokens one bucket holds, in bytes.
 BLOCK_BYTES, BUCKET_BYTES, BLOCK_DOCS = 16 << 20, 16 << 20, 16384
-#: Words that are a larger share of a sample are dealt over all buckets. Which words these are doesn't change results.
-HOT_SHARE, HOT_MOST, HOT_DOCS = 1 / 1000, 256, 2000
-ROUNDS, SAMPLES = 3, 2
-STRENGTH = (1.0, 10.0)  # of the parent and of the restaurants below it
-EXACT = 256  # customers that are seated one by one; later tables are found by inverting their waiting times
+#: Exchanges with the parent, the last of them that scores are averaged over, and sweeps of the restaurants in each.
+ROUNDS, SAMPLES, SWEEPS = 4, 3, 2
+STRENGTH = (1.0, 1.0)  # of the parent and of the restaurants below it
+#: Up to so many customers of a word the numbers of seatings are exact; beyond, by saddle points.
+EXACT = 1024
+#: Words of a restaurant that are reseated one after another; those of the same turn (and all beyond EXACT) are reseated side by side.
+TURNS = 8
+#: Kinds of rows: of a word or a split context (tables, tables in the parent, customers), a seating, cells, references.
+WORD, CONTEXT, STATE, CELLS, REFS = range(5)
+ROWS = "bucket long, kind int, h long, a long, b long, c long, blob binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, each with the smallest unsigned type that holds it, compressed."""
+    """Arrays of unsigned integers, each with the smallest type that holds it, byte by byte, compressed."""
     parts = []
     for a in arrays:
         top = int(a.max()) if len(a) else 0
         kind = 0 if top < 1 << 8 else 1 if top < 1 << 16 else 2 if top < 1 << 32 else 3
-        parts.append(struct.pack("<BI", kind, len(a)) + a.astype(("u1", "<u2", "<u4", "<u8")[kind]).tobytes())
+        planes = np.ascontiguousarray(a.astype(("u1", "<u2", "<u4", "<u8")[kind])).view(np.uint8).reshape(len(a), 1 << kind)
+        parts.append(struct.pack("<BQ", kind, len(a)) + planes.T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     while at < len(raw):
-        kind, n = struct.unpack_from("<BI", raw, at)
-        out.append(np.frombuffer(raw, ("u1", "<u2", "<u4", "<u8")[kind], n, at + 5))
-        at += 5 + (n << kind)
+        kind, n = struct.unpack_from("<BQ", raw, at)
+        planes = np.frombuffer(raw, np.uint8, n << kind, at + 9).reshape(1 << kind, n)
+        out.append(np.ascontiguousarray(planes.T).view(("u1", "<u2", "<u4", "<u8")[kind]).ravel())
+        at += 9 + (n << kind)
     return out
 
 
 def tokens_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's words and the end, and the class of what stands before each."""
+    """Hashes of a text's words and the end, and of what stands before each."""
     w = np.append(word_hashes((text or "").encode()), END)
-    before = np.empty(len(w), np.int64)
-    before[0] = START
-    before[1:] = (mix(w[:-1] ^ np.uint64(0xC1A55)) >> np.uint64(54)).astype(np.int64) % CLASSES
-    return w, before
+    return w, np.append(START, w[:-1])
 
 
 def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
@@ -84,39 +89,60 @@ def blocks_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list, l
         yield ids, held, texts
 
 
-def grouped(sorted_values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values starts, and the end."""
-    return np.append(np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])), len(sorted_values)) if len(sorted_values) else np.zeros(1, np.int64)
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of all keys starts, and the end."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(new), n)
 
 
-def bucket_of(w: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mix(w) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+@dataclass
+class Dealing:
+    """Into how many buckets, and into how many parts the contexts are split that hold much of all tokens."""
+
+    buckets: int
+    split: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # sorted
+    parts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+
+    def __call__(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        key = u.copy()
+        if len(self.split):
+            at = np.minimum(np.searchsorted(self.split, u), len(self.split) - 1)
+            hot = np.flatnonzero(self.split[at] == u)
+            part = mix(w[hot] ^ np.uint64(0x9A27)) % self.parts[at[hot]].astype(np.uint64)
+            key[hot] = mix(u[hot] + (part + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        return ((mix(key) >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
+
 
+def dealing(docs: DataFrame, buckets: int) -> Dealing:
+    """Find the contexts to split, in one pass over all documents.
 
-def dealt(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, block and payload: the tokens of a block's words of that bucket. Bucket -1 - k has the block's documents."""
+    A block names the words that are an eighth of a bucket's share of its tokens. What a word lacks in blocks that
+    don't name it is less than that share, so every word of a quarter of a bucket is found; at most 8 * buckets are.
+    """
+    if buckets == 1:
+        return Dealing(1)
+    share = 1 / (8 * buckets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, held, texts in blocks_of(batches):
-            found = [tokens_of(t) for t in texts]
-            w, ctx = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            doc = np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
-            block = block_number(ids, w)
-            where = bucket_of(w, buckets)
-            if len(hot):
-                is_hot = hot[np.searchsorted(hot, w) % len(hot)] == w
-                where[is_hot] = bucket_of(w[is_hot] ^ np.uint64(block), buckets)
-            order = np.lexsort((w, where))
-            w, ctx, doc, where = w[order], ctx[order], doc[order], where[order]
-            train = np.packbits(~np.array(held, bool))
-            rows = [(-1 - block % buckets, block, pack(np.array([0 if i is None else i + (1 << 63) for i in ids], np.uint64), np.array([i is None for i in ids], np.uint8), np.array(held, np.uint8), np.bincount(doc, minlength=len(texts)).astype(np.uint64)))]
-            cut = grouped(where)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                runs = grouped(w[a:b])
-                rows.append((int(where[a]), block, pack(w[a:b][runs[:-1]], np.diff(runs), ctx[a:b], doc[a:b], train)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "block", "payload"])
+        for _, _, texts in blocks_of(batches):
+            u, c = np.unique(np.concatenate([tokens_of(t)[1] for t in texts]), return_counts=True)
+            top, total = c >= share * c.sum(), int(c.sum())
+            yield pa.RecordBatch.from_pydict({"u": pa.array([None, *u[top].view(np.int64).tolist()], pa.int64()), "c": pa.array([total, *c[top].tolist()], pa.int64())})
 
-    return docs.select("id", "held", "text").mapInArrow(run, "bucket long, block long, payload binary")
+    found = kept(docs.select("id", "held", "text").mapInArrow(run, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")), "contexts")
+    total = found.filter("u is null").first()
+    total = total["c"] if total else 0
+    rows = found.filter((F.col("u").isNotNull()) & (F.col("c") >= F.lit(share * total))).toArrow()  # at most 1 / share rows
+    drop_kept(found)
+    u, c = rows.column("u").to_numpy().view(np.uint64), rows.column("c").to_numpy()
+    order = np.argsort(u)
+    return Dealing(buckets, u[order], np.ceil(2 * c[order] * buckets / max(total, 1)).astype(np.int64) + 1)
 
 
 def block_number(ids: list, w: np.ndarray) -> int:
@@ -126,191 +152,475 @@ def block_number(ids: list, w: np.ndarray) -> int:
     return int(mix(np.add.reduce(np.concatenate(parts), keepdims=True))[0] >> np.uint64(1))
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """A row for each bucket: cells (words, cells of each word, class and training count of each cell) and refs (tokens of each cell, their block and document)."""
+def dealt(docs: DataFrame, deal: Dealing) -> DataFrame:
+    """bucket, block and payload: a block's cells of that bucket. Bucket -1 - k has the block's documents."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, held, texts in blocks_of(batches):
+            found = [tokens_of(t) for t in texts]
+            n = np.array([len(f[0]) for f in found])
+            w, u = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            del found
+            block, where = block_number(ids, w), deal(u, w)
+            order = np.lexsort((w, u, where))
+            w, u, where = w[order], u[order], where[order]
+            cut = runs(where, u, w)
+            doc = np.repeat(np.arange(len(texts)), n)[order]
+            cell = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+            count = np.add.reduceat((~np.array(held, bool))[doc].astype(np.int64), cut[:-1])
+            by_doc = np.argsort(doc, kind="stable")  # of each document its cells, in order
+            step = np.diff(cell[by_doc], prepend=0)
+            first = np.append(0, np.cumsum(n)[:-1])
+            step[first] = cell[by_doc][first]
+            meta = pack(np.array([0 if i is None else i + (1 << 63) for i in ids], np.uint64), np.array([i is None for i in ids], np.uint8), np.array(held, np.uint8), n, step)
+            w, u, where = w[cut[:-1]], u[cut[:-1]], where[cut[:-1]]
+            rows = [(-1 - block % deal.buckets, block, meta)]
+            of = runs(where)
+            for a, b in zip(of[:-1], of[1:], strict=True):
+                of_u = runs(u[a:b])
+                rows.append((int(where[a]), block, pack(u[a:b][of_u[:-1]], np.diff(of_u), w[a:b], count[a:b])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "block", "payload"])
+        release()
+
+    return docs.select("id", "held", "text").mapInArrow(run, "bucket long, block long, payload binary")
+
+
+def merged(rows: DataFrame, partitions: int) -> DataFrame:
+    """A row for each bucket: cells, and refs (of each block the cells it has there). Rows of documents stay."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         if bucket < 0:
-            return pa.table({"bucket": pa.array([bucket] * group.num_rows, pa.int64()), "block": group.column("block"), "cells": pa.array([None] * group.num_rows, pa.binary()), "refs": group.column("payload")})
+            return pa.table({"bucket": group.column("bucket"), "block": group.column("block"), "cells": pa.array([None] * group.num_rows, pa.binary()), "refs": group.column("payload")})
         group = group.sort_by("block")
-        blocks = group.column("block").to_numpy()
-        parts = []
-        for k, data in enumerate(group.column("payload")):
-            words, n, ctx, doc, train = unpack(data.as_py())
-            doc = doc.astype(np.int64)
-            parts.append((np.repeat(words.astype(np.uint64), n), ctx.astype(np.int64), doc, np.full(len(doc), k), np.unpackbits(train)[doc]))
-        w, ctx, doc, block, train = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        order = np.lexsort((ctx, w))
-        w, ctx, doc, block, train = w[order], ctx[order], doc[order], block[order], train[order]
-        of_words = grouped(w)
-        of_cells = np.append(np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1]))), len(w))
-        starts = of_cells[:-1]
-        per_word = np.diff(np.searchsorted(starts, of_words))
-        cells = pack(w[of_words[:-1]], per_word, ctx[starts], np.add.reduceat(train.astype(np.int64), starts))
-        refs = pack(blocks.astype(np.uint64), np.diff(of_cells), block, doc)
+        parts = [unpack(x.as_py()) for x in group.column("payload")]
+        u = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+        w, count = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        sizes = [len(p[2]) for p in parts]
+        del parts
+        order = np.lexsort((w, u))
+        cut = runs(u[order], w[order])
+        cell = np.empty(len(u), np.int64)
+        cell[order] = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        steps = [np.diff(x, prepend=0) for x in np.split(cell, np.cumsum(sizes)[:-1])]  # a block's cells are in order
+        refs = pack(group.column("block").to_numpy().astype(np.uint64), np.array(sizes), np.concatenate(steps))
+        count = np.add.reduceat(count[order].astype(np.int64), cut[:-1])
+        u, w = u[order][cut[:-1]], w[order][cut[:-1]]
+        of_u = runs(u)
+        words, word = np.unique(w, return_inverse=True)
+        cells = pack(u[of_u[:-1]], np.diff(of_u), words, word, count)
         return pa.table({"bucket": pa.array([bucket], pa.int64()), "block": pa.array([None], pa.int64()), "cells": pa.array([cells], pa.binary()), "refs": pa.array([refs], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(run, "bucket long, block long, cells binary, refs binary")
+    return rows.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(run, "bucket long, block long, cells binary, refs binary")
 
 
 @dataclass
 class Totals:
-    """What all restaurants share: words and tokens of training, and after each round the tables of each class (and the start), and the parent's customers and tables."""
+    """What all restaurants share: words and tokens of training, discounts (parent's first), and the parent's customers and tables after each round."""
 
     words: int
     tokens: int
-    customers: np.ndarray
     discount: tuple[float, float]
-    rounds: list[tuple[np.ndarray, int, int]] = field(default_factory=list)
+    rounds: list[tuple[int, int]] = field(default_factory=list)
 
+    @property
+    def base(self) -> float:
+        return 1 / (self.words + 1)
+
+    def new(self, k: int) -> float:
+        """Weight of a new table for one given word in the parent, after round k."""
+        return (STRENGTH[0] + self.discount[0] * self.rounds[k][1]) * self.base
 
-@dataclass
-class Cells:
-    words: np.ndarray
-    of: np.ndarray  # of each cell, the number of its word
-    ctx: np.ndarray
-    count: np.ndarray
 
-    @classmethod
-    def load(cls, data: bytes) -> Cells:
-        words, n, ctx, count = unpack(data)
-        return cls(words.astype(np.uint64), np.repeat(np.arange(len(words)), n), ctx.astype(np.int64), count.astype(np.int64))
+class Cells:
+    """A bucket's cells, sorted by context and word. word: number of its word in words."""
 
-    def only(self, keep: np.ndarray) -> Cells:
-        """The cells of the words that are kept."""
-        number = np.cumsum(keep) - 1
-        mine = keep[self.of]
-        return Cells(self.words[keep], number[self.of[mine]], self.ctx[mine], self.count[mine])
+    def __init__(self, data: bytes):
+        self.contexts, per, self.words, word, count = unpack(data)
+        self.ctx = np.repeat(np.arange(len(per)), per)
+        self.word, self.count = word.astype(np.int64), count.astype(np.int64)
+        self.several = np.flatnonzero(self.count > 1)
+        self.customers = np.bincount(self.ctx, self.count, len(per)).astype(np.int64)
+        self.word_counts = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
 
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.of, self.count, len(self.words)).astype(np.int64)
+    def tables(self, several: np.ndarray | None) -> np.ndarray:
+        """Tables of all cells, given those of cells with several customers (None: one each)."""
+        t = np.minimum(self.count, 1)
+        if several is not None:
+            t[self.several] = several
+        return t
 
 
-def draw(key: np.ndarray, k: int | np.ndarray) -> np.ndarray:
+def draw(key: np.ndarray, k: int) -> np.ndarray:
     """Uniform in (0, 1), by key and number."""
-    return ((mix(key + np.uint64(0x9E3779B97F4A7C15) * np.asarray(k, np.uint64)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return ((mix(key + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    x = np.array(x, float)
+    less = np.ones_like(x)
+    for _ in range(8):
+        small = x < 8
+        less[small] *= x[small]
+        x[small] += 1
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - np.log(less)
+
+
+@lru_cache(maxsize=8)
+def seatings(d: float, most: int = EXACT) -> np.ndarray:
+    """[c, t]: log of the generalised Stirling number, the weight of all seatings of c customers at t tables."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0
+    for c in range(1, most + 1):
+        t = np.arange(1, c + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[c, t] = np.logaddexp(out[c - 1, t - 1], np.where(t < c, np.log(np.maximum(c - 1 - t * d, 1e-300)) + out[c - 1, t], -np.inf))
+    return out
 
 
-def seat(count: np.ndarray, a: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
-    """Tables at which count customers of one word sit, of a restaurant where a new one has weight a and discount d.
+def saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log of the same number for many customers, by the saddle point of its generating function."""
+    ratio = np.log(c / t)
+    lo, hi = np.full(len(c), -4000.0), np.full(len(c), -1e-9)
 
-    Customer i + 1 opens a table with probability a / (a + i - d t). Beyond EXACT customers the number of the one that
-    opens the next is drawn at once: that none does from i to j has probability ((i - d t) / (j - d t))^a nearly.
-    """
-    t = np.minimum(count, 1)
-    active = np.flatnonzero(count > 1)
-    i = 1
-    while len(active) and i < EXACT:
-        ta = t[active]
-        new = draw(key[active], i) * (a[active] + i - d * ta) < a[active]
-        t[active] = ta + new
-        i += 1
-        active = active[count[active] > i]
-    at = np.full(len(count), float(EXACT))
-    step = 0
-    while len(active):
-        step += 1
-        dt = d * t[active]
-        with np.errstate(over="ignore"):
-            at[active] = np.ceil(dt + (at[active] - dt) * draw(key[active], EXACT + step) ** (-1 / a[active])) + 1
-        active = active[at[active] <= count[active]]
-        t[active] += 1
-    return t
+    def log_h(z: np.ndarray) -> np.ndarray:
+        return np.log(-np.expm1(z)) + math.log(d) + (d - 1) * z - np.log(-np.expm1(d * z))
 
+    for _ in range(50):
+        z = (lo + hi) / 2
+        high = log_h(z) > ratio
+        lo, hi = np.where(high, z, lo), np.where(high, hi, z)
+    z = (lo + hi) / 2
+    h = c / t
+    with np.errstate(over="ignore"):
+        spread = np.where(z < -30, math.log(1 - d) - z, np.log(np.maximum(1 - h + (1 - d) * -np.expm1(z) * np.exp(np.minimum(-z, 30)), 1e-12)))
+    value = t * np.log(-np.expm1(d * z)) - c * np.log1p(-np.exp(z)) - 0.5 * (math.log(2 * math.pi) + np.log(c) + spread)
+    return value + log_gamma(c + 1) - log_gamma(t + 1) - t * math.log(d)
 
-def first_state(cells: Cells) -> tuple[np.ndarray, np.ndarray]:
-    """One table for each word in each restaurant."""
-    t2 = np.minimum(cells.count, 1)
-    return t2, np.minimum(np.bincount(cells.of, t2, len(cells.words)).astype(np.int64), 1)
 
+@lru_cache(maxsize=8)
+def limit(d: float) -> np.ndarray:
+    """[t]: what is left of the last row of seatings() without its factors in t and c; from t = 0 on, where it has a limit."""
+    t = np.arange(1, EXACT + 1, dtype=float)
+    row = seatings(d)[EXACT, 1:] - factors(np.full(EXACT, float(EXACT)), t, d)
+    return np.append(math.log(d) - math.lgamma(1 - d), row)
 
-def parent_probability(customers: np.ndarray, tables: np.ndarray, totals: Totals, k: int) -> np.ndarray:
-    """Of each word, from its customers and tables in the parent after round k."""
-    _, all_customers, all_tables = totals.rounds[k]
-    s, d = STRENGTH[0], totals.discount[0]
-    return (np.maximum(customers - d * tables, 0) + (s + d * all_tables) / (totals.words + 1)) / (s + all_customers)
 
+def factors(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    return log_gamma(c + 1) - log_gamma(t + 1) - t * math.log(d) + np.log(t) - (1 + d) * np.log(c)
 
-def states(cells: Cells, totals: Totals, rounds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(round, tables of cells, customers and tables of words in the parent), from the first seating on."""
-    t2, t1 = first_state(cells)
-    c1 = np.bincount(cells.of, t2, len(cells.words)).astype(np.int64)
-    yield 0, t2, c1, t1
-    key2 = mix(cells.words[cells.of] + cells.ctx.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) if len(cells.of) else np.empty(0, np.uint64)
-    key1 = mix(cells.words ^ np.uint64(0xA0761D6478BD642F))
-    for k in range(1, rounds + 1):
-        tables, _, all_tables = totals.rounds[k - 1]
-        p = parent_probability(c1, t1, totals, k - 1)
-        salt = np.uint64(k * 0xE7037ED1A0B428DB & (1 << 64) - 1)
-        t2 = seat(cells.count, (STRENGTH[1] + totals.discount[1] * tables[cells.ctx]) * p[cells.of], totals.discount[1], key2 ^ salt)
-        c1 = np.bincount(cells.of, t2, len(cells.words)).astype(np.int64)
-        t1 = seat(c1, np.full(len(c1), (STRENGTH[0] + totals.discount[0] * all_tables) / (totals.words + 1)), totals.discount[0], key1 ^ salt)
-        yield k, t2, c1, t1
 
+def log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """As seatings() beyond its table, within some hundredths.
 
-def sums_of(cells: Cells, t2: np.ndarray, c1: np.ndarray, t1: np.ndarray) -> np.ndarray:
-    """Tables by class, then customers and tables in the parent."""
-    return np.concatenate([np.bincount(cells.ctx, t2, CLASSES + 1), [c1.sum(), t1.sum()]])
+    Few tables, up to 2 c^d and 0.6 c: but for known factors the number depends on t / c^d alone, so the table's last row gives
+    it. More: by saddle points, whose error depends on t above all and is taken from the same row.
+    """
+    c, t = c.astype(float), t.astype(float)
+    out = np.empty(len(c))
+    few = t <= np.minimum(2 * c**d, 0.6 * c)
+    at = t[few] * (EXACT / c[few]) ** d
+    low = np.minimum(at.astype(int), EXACT - 1)
+    known = limit(d)
+    out[few] = known[low] + (at - low) * (known[low + 1] - known[low]) + factors(c[few], t[few], d)
+    out[~few] = saddle(c[~few], t[~few], d)
+    near = ~few & (t < EXACT // 2)
+    if near.any():
+        k = t[near]
+        out[near] += seatings(d)[EXACT, k.astype(int)] - saddle(np.full(len(k), float(EXACT)), k, d)
+    return out
 
 
-def probabilities(cells: Cells, totals: Totals) -> np.ndarray:
-    """Predictive probability of each cell, averaged over the last rounds."""
-    out = np.zeros(len(cells.of))
-    s, d = STRENGTH[1], totals.discount[1]
-    for k, t2, c1, t1 in states(cells, totals, len(totals.rounds) - 1):
-        if k > len(totals.rounds) - 1 - SAMPLES:
-            tables = totals.rounds[k][0]
-            p = parent_probability(c1, t1, totals, k)[cells.of]
-            out += (np.maximum(cells.count - d * t2, 0) + (s + d * tables[cells.ctx]) * p) / (s + totals.customers[cells.ctx])
-    return out / min(SAMPLES, len(totals.rounds))
+class Restaurants:
+    """What the draw of a word's tables depends on, for each of some words: its customers, and the other words' tables."""
+
+    def __init__(self, count: np.ndarray, others: np.ndarray, strength: float, discount: float):
+        self.count, self.others, self.strength, self.discount = count, others, strength, discount
+
+    def take(self, i: np.ndarray) -> Restaurants:
+        raise NotImplementedError
+
+    def above(self, j: np.ndarray) -> np.ndarray:
+        """log probability that the parent gives the word for table j + 1 after j (words x j)."""
+        raise NotImplementedError
+
+    def above_all(self, t: np.ndarray) -> np.ndarray:
+        """The sum of above() for t tables (words x any)."""
+        raise NotImplementedError
+
+    def log_weight(self, t: np.ndarray) -> np.ndarray:
+        """log of the weight of t tables in all (words x any)."""
+        d, free = self.discount, self.strength / self.discount + self.others[:, None]
+        here = t * math.log(d) + log_gamma(free + t) - log_gamma(free)
+        c = np.broadcast_to(self.count[:, None], t.shape)
+        return log_seatings(c.ravel(), t.ravel(), d).reshape(t.shape) + here + self.above_all(t)
+
+    def draw(self, u: np.ndarray) -> np.ndarray:
+        """Tables of each word, drawn from what their number's distribution is given all the rest; u: uniform numbers."""
+        out = np.minimum(self.count, 1)
+        width = 2
+        while width <= EXACT:
+            of = np.flatnonzero((self.count > width // 2) & (self.count <= width) & (self.count > 1))
+            j = np.arange(width, dtype=float)
+            for at in range(0, len(of), chunk := max(1, (1 << 20) // width)):
+                i = of[at : at + chunk]
+                some = self.take(i)
+                steps = np.log(self.strength + self.discount * (some.others[:, None] + j)) + some.above(j)
+                out[i] = 1 + pick(seatings(self.discount)[some.count, 1 : width + 1] + np.cumsum(steps, axis=1), u[i])
+            width *= 2
+        i = np.flatnonzero(self.count > EXACT)
+        if len(i):
+            some, lo, hi = self.take(i), np.ones(len(i)), self.count[i].astype(float)
+            weight = lambda t: some.log_weight(t[:, None])[:, 0]
+            for _ in range(int(math.log2(hi.max())) + 2):  # the most likely number
+                mid = np.floor((lo + hi) / 2)
+                up = (weight(np.minimum(mid + 1, self.count[i])) > weight(mid)) & (mid < hi)
+                lo, hi = np.where(up, mid + 1, lo), np.where(up, hi, mid)
+            step = np.maximum(1, np.floor(np.sqrt(lo) / 4))  # the grid reaches eight standard deviations either way
+            t = lo[:, None] + step[:, None] * np.arange(-32, 33)
+            fits = (t >= 1) & (t <= self.count[i][:, None])
+            k = pick(np.where(fits, some.log_weight(np.clip(t, 1, self.count[i][:, None])), -np.inf), u[i])
+            t = t[np.arange(len(i)), k] + np.floor(step * (u[i] * 4096 % 1) - step / 2 + 0.5)
+            out[i] = np.clip(t, 1, self.count[i]).astype(np.int64)
+        return out
+
+
+class Children(Restaurants):
+    """Restaurants of contexts. Of the parent: the word's customers and tables there, and all customers, without those that are redrawn; its discount, and the weight of a new table."""
+
+    def __init__(self, count, others, customers: np.ndarray, tables: np.ndarray, everybody: np.ndarray, discount: float, new: float, own: tuple[float, float]):
+        super().__init__(count, others, *own)
+        self.customers, self.tables, self.everybody, self.parent_discount, self.new = customers, tables, everybody, discount, new
+
+    def take(self, i: np.ndarray) -> Children:
+        return Children(self.count[i], self.others[i], self.customers[i], self.tables[i], self.everybody[i], self.parent_discount, self.new, (self.strength, self.discount))
+
+    def above(self, j: np.ndarray) -> np.ndarray:
+        d = self.parent_discount
+        known = self.customers[:, None] + j - d * self.tables[:, None]
+        return np.log(np.where(self.customers[:, None] > 0, known, np.where(j > 0, j - d, 0.0)) + self.new) - np.log(self.everybody[:, None] + j)
+
+    def above_all(self, t: np.ndarray) -> np.ndarray:
+        d, everybody = self.parent_discount, self.everybody[:, None].astype(float)
+        b = np.where(self.customers > 0, self.customers - d * self.tables + self.new, 1.0)[:, None]
+        known = log_gamma(b + t) - log_gamma(b)
+        fresh = math.log(self.new) + log_gamma(self.new + t - d) - log_gamma(np.array(self.new + 1 - d))
+        return np.where(self.customers[:, None] > 0, known, fresh) - log_gamma(everybody + t) + log_gamma(everybody)
+
+
+class Root(Restaurants):
+    """The parent of all, whose tables draw their word from the base."""
+
+    def __init__(self, count, others, base: float, own: tuple[float, float]):
+        super().__init__(count, others, *own)
+        self.base = base
+
+    def take(self, i: np.ndarray) -> Root:
+        return Root(self.count[i], self.others[i], self.base, (self.strength, self.discount))
+
+    def above(self, j: np.ndarray) -> np.ndarray:
+        return np.full((1, len(j)), math.log(self.base))
+
+    def above_all(self, t: np.ndarray) -> np.ndarray:
+        return t * math.log(self.base)
+
+
+def pick(log_p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Of each row the column that u falls on."""
+    p = np.exp(log_p - log_p.max(axis=1, keepdims=True)).cumsum(axis=1)
+    return np.minimum((p < (u * p[:, -1])[:, None]).sum(axis=1), log_p.shape[1] - 1)
+
 
+@dataclass
+class Parent:
+    """Of a bucket's words: customers, tables in the parent and count in training; of its contexts: tables and customers."""
+
+    customers: np.ndarray
+    tables: np.ndarray
+    count: np.ndarray
+    ctx_tables: np.ndarray
+    ctx_customers: np.ndarray
+
+
+def sweep(cells: Cells, several: np.ndarray, parent: Parent, totals: Totals, k: int, sweeps: int = SWEEPS) -> np.ndarray:
+    """Tables of the cells with several customers after `sweeps` Gibbs sweeps, given the parent after round k."""
+    i = cells.several
+    ctx, word, count = cells.ctx[i], cells.word[i], cells.count[i]
+    start, t, tables = several.astype(np.int64), several.astype(np.int64).copy(), parent.ctx_tables.astype(np.int64).copy()
+    key = mix(cells.contexts[ctx] * np.uint64(3) + mix(cells.words[word] + np.uint64(1))) if len(i) else np.empty(0, np.uint64)
+    cut = runs(ctx)
+    turn = (np.arange(len(i)) - np.repeat(cut[:-1], np.diff(cut))) % TURNS
+    turn[count > EXACT] = 0
+    above = parent.customers[word] - start
+    above_tables = np.minimum(parent.tables[word], above)
+    for n in range(sweeps):
+        for r in range(TURNS):
+            j = np.flatnonzero(turn == r)
+            if len(j):
+                everybody = STRENGTH[0] + totals.rounds[k][0] - start[j]
+                some = Children(count[j], tables[ctx[j]] - t[j], above[j], above_tables[j], everybody, totals.discount[0], totals.new(k), (STRENGTH[1], totals.discount[1]))
+                new = some.draw(draw(key[j], 1 + k * sweeps + n))
+                np.add.at(tables, ctx[j], new - t[j])
+                t[j] = new
+    return t
 
-def summed(state: DataFrame, f, n: int) -> np.ndarray:
-    """The sum over all buckets of f(cells without hot words), an array of n numbers; added up by Spark."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n)
-        for b in batches:
-            for data in b.column(0):
-                total += f(Cells.load(data.as_py()))
-        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(n)), "x": pa.array(total)})
-
-    rows = state.select("cells").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(n)
-    for r in rows:
-        out[r["i"]] = r["x"]
+def seat_parent(words: np.ndarray, customers: np.ndarray, before: np.ndarray, totals: Totals, k: int) -> np.ndarray:
+    """Tables of words in the parent in round k, given its tables after the round before."""
+    some = Root(customers, totals.rounds[k - 1][1] - before, totals.base, (STRENGTH[0], totals.discount[0]))
+    return some.draw(draw(mix(words ^ np.uint64(0xA0761D6478BD642F)), k))
+
+
+def probabilities(cells: Cells, t: np.ndarray, parent: Parent, totals: Totals, k: int) -> np.ndarray:
+    """Predictive probability of each cell's word after its context, of one seating."""
+    customers, _ = totals.rounds[k]
+    single = (np.maximum(parent.customers - totals.discount[0] * parent.tables, 0) + totals.new(k)) / (STRENGTH[0] + customers)
+    s, d = STRENGTH[1], totals.discount[1]
+    return (np.maximum(cells.count - d * t, 0) + (s + d * parent.ctx_tables[cells.ctx]) * single[cells.word]) / (s + parent.ctx_customers[cells.ctx])
+
+
+def rows_of(bucket: int, cells: Cells, t: np.ndarray, before: np.ndarray, split: np.ndarray, state: bytes) -> pa.Table:
+    """What a bucket sends after a pass: its words' tables, those of its split contexts, and its seating."""
+    ctx = np.flatnonzero(np.isin(cells.contexts, split))
+    n, m = len(cells.words), len(ctx)
+    tables = np.bincount(cells.ctx, t, len(cells.contexts)).astype(np.int64)
+    columns = {
+        "bucket": np.full(n + m + 1, bucket), "kind": np.repeat(np.array([WORD, CONTEXT, STATE], np.int32), [n, m, 1]),
+        "h": np.concatenate([cells.words, cells.contexts[ctx], np.zeros(1, np.uint64)]).view(np.int64),
+        "a": np.concatenate([np.bincount(cells.word, t, n).astype(np.int64), tables[ctx], [(cells.count == 1).sum()]]),
+        "b": np.concatenate([before, np.zeros(m, np.int64), [(cells.count == 2).sum()]]),
+        "c": np.concatenate([cells.word_counts, cells.customers[ctx], [0]]),
+    }
+    return pa.table({**{k: pa.array(v) for k, v in columns.items()}, "blob": pa.array([None] * (n + m) + [state], pa.binary())})
+
+
+def read_group(group: pa.Table) -> tuple[int, Cells, list[np.ndarray], pa.Table]:
+    """bucket, cells, seating (empty before the first) and what the parent replied of a bucket."""
+    kind = group.column("kind").to_numpy()
+    blob = lambda k: [group.column("blob")[int(i)].as_py() for i in np.flatnonzero(kind == k)]
+    state = blob(STATE)
+    return group.column("bucket")[0].as_py(), Cells(blob(CELLS)[0]), unpack(state[0]) if state else [], group.filter(pa.array(kind <= CONTEXT))
+
+
+def parent_of(cells: Cells, t: np.ndarray, reply: pa.Table) -> Parent:
+    kind, h, a, b, c = (reply.column(x).to_numpy() for x in ("kind", "h", "a", "b", "c"))
+    h = h.view(np.uint64)
+    order = np.flatnonzero(kind == WORD)
+    order = order[np.argsort(h[order])]
+    if len(order) != len(cells.words) or (h[order] != cells.words).any():
+        raise ValueError("the parent's reply doesn't fit the bucket's words")
+    tables, customers = np.bincount(cells.ctx, t, len(cells.contexts)).astype(np.int64), cells.customers.copy()
+    split = np.flatnonzero(kind == CONTEXT)
+    at = np.searchsorted(cells.contexts, h[split])
+    tables[at], customers[at] = a[split], c[split]
+    return Parent(a[order], b[order], c[order], tables, customers)
+
+
+def union(spark_rows: list[DataFrame]) -> DataFrame:
+    out = spark_rows[0]
+    for r in spark_rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
     return out
 
 
-def without(cells: Cells, hot: np.ndarray) -> Cells:
-    return cells.only(~np.isin(cells.words, hot)) if len(hot) else cells
+def first_pass(cells: DataFrame, split: np.ndarray, partitions: int) -> DataFrame:
+    """Everybody of a word at one table."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, c, _, _ = read_group(group)
+        return rows_of(bucket, c, c.tables(None), np.zeros(len(c.words), np.int64), split, pack(np.ones(len(c.several), np.int64)))
+
+    return cells.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(run, ROWS)
+
+
+def next_pass(rows: DataFrame, split: np.ndarray, totals: Totals, k: int, partitions: int) -> DataFrame:
+    """Round k from rows (cells, seatings and replies after round k - 1). Seatings that count are carried along."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket, c, state, reply = read_group(group)
+        t = c.tables(state[0])
+        parent = parent_of(c, t, reply)
+        if k - 1 > ROUNDS - SAMPLES:
+            state += [state[0], parent.customers, parent.tables, parent.ctx_tables]
+        state[0] = sweep(c, state[0], parent, totals, k - 1)
+        return rows_of(bucket, c, c.tables(state[0]), parent.tables, split, pack(*state))
+
+    return rows.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(run, ROWS)
+
 
+def last_pass(rows: DataFrame, totals: Totals, partitions: int) -> DataFrame:
+    """block, part (the bucket) and payload: of each block's cells in the bucket log10 of the averaged probability, and the word's count."""
 
-def hot_words(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of words that are frequent in a bounded sample: a hint for dealing them out."""
-    n = docs.count()
-    share = min(1.0, HOT_DOCS / max(n, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
+    def run(group: pa.Table) -> pa.Table:
+        bucket, c, state, reply = read_group(group)
+        parent = parent_of(c, c.tables(state[0]), reply)
+        seatings_ = [state[i : i + 4] for i in range(1, len(state), 4)] + [[state[0], parent.customers, parent.tables, parent.ctx_tables]]
+        p = np.zeros(len(c.count))
+        for n, (t, *above) in enumerate(seatings_):
+            here = Parent(above[0].astype(np.int64), above[1].astype(np.int64), parent.count, above[2].astype(np.int64), parent.ctx_customers)
+            p += probabilities(c, c.tables(t), here, totals, ROUNDS - len(seatings_) + 1 + n)
+        log_p, known = np.log10(p / len(seatings_)).astype("<f4").view("<u4"), parent.count[c.word]
+        refs = next(group.column("blob")[int(i)].as_py() for i in np.flatnonzero(group.column("kind").to_numpy() == REFS))
+        blocks, sizes, steps = unpack(refs)
+        ends = np.cumsum(sizes.astype(np.int64))
+        out = []
+        for a, b in zip(ends - sizes, ends, strict=True):
+            at = np.cumsum(steps[a:b].astype(np.int64))
+            out.append(pack(log_p[at], known[at]))
+        return pa.table({"block": pa.array(blocks.astype(np.int64)), "part": pa.array(np.full(len(out), bucket)), "payload": pa.array(out, pa.binary())})
+
+    return rows.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(run, "block long, part long, payload binary")
+
+
+def parents(rows: DataFrame, totals: Totals | None, k: int) -> DataFrame:
+    """kind, h, a, b, c: of each word its customers and tables in the parent and its count; of split contexts their totals."""
+    sums = rows.filter(F.col("kind") <= CONTEXT).groupBy("kind", "h").agg(F.sum("a").alias("a"), F.max("b").alias("b"), F.sum("c").alias("c"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in blocks_of(batches):
-            w, c = np.unique(np.concatenate([tokens_of(t)[0] for t in texts]), return_counts=True)
-            top = c >= HOT_SHARE / 4 * c.sum()
-            yield pa.RecordBatch.from_pydict({"w": pa.array(w[top].view(np.int64)), "c": pa.array(c[top]), "n": pa.array(np.full(top.sum(), c.sum()) / max(top.sum(), 1))})
+        for batch in batches:
+            kind, h, a, b = (batch.column(i).to_numpy() for i in range(4))
+            t = np.minimum(a, 1)
+            word = np.flatnonzero(kind == WORD)
+            if totals is not None and len(word):
+                t[word] = seat_parent(h[word].view(np.uint64), a[word], b[word], totals, k)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(kind == WORD, t, 0)), batch.column(4)], names=["kind", "h", "a", "b", "c"])
+
+    return kept(sums.mapInArrow(run, "kind int, h long, a long, b long, c long"), "parent")
+
+
+def scored(parts: DataFrame, key: str, totals: Totals) -> DataFrame:
+    """Documents with their scores, from the rows of documents and what buckets gave for their blocks."""
+    floor = math.log10(totals.tokens + totals.words + 1)
 
-    rows = sample.select("id", "held", "text").mapInArrow(run, "w long, c long, n double")
-    found = rows.groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).orderBy(F.desc("c"), "w").limit(4 * HOT_MOST).collect()
-    total = sum(r["n"] for r in found)
-    return np.sort(np.array([r["w"] for r in found if r["c"] >= HOT_SHARE * total][:HOT_MOST], np.int64).view(np.uint64))
+    def run(group: pa.Table) -> pa.Table:
+        part, payload = group.column("part").to_pylist(), group.column("payload")
+        metas = [i for i, p in enumerate(part) if p is None]
+        ids, null, held, n, step = unpack(payload[metas[0]].as_py())
+        found = [unpack(payload[i].as_py()) for _, i in sorted({p: i for i, p in enumerate(part) if p is not None}.items())]
+        log_p, count = np.concatenate([f[0] for f in found]).astype("<u4").view("<f4").astype(float), np.concatenate([f[1] for f in found])
+        first = np.append(0, np.cumsum(n.astype(np.int64))[:-1])
+        # cells of a document are numbered by their steps, each document's from 0
+        at = np.cumsum(step.astype(np.int64))
+        at -= np.repeat(np.append(0, at[first[1:] - 1]), n)
+        add = lambda x: np.add.reduceat(x[at], first)
+        score, n = add(log_p), n.astype(np.int64)
+        ids = (ids.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+        table = {
+            key: pa.array(ids, mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(add((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(ids), totals.tokens)),
+            "base_score": pa.array(add(np.log10(count + 1.0)) - n * floor), "score": pa.array(score), "perplexity": pa.array(10 ** (-score / n)),
+        }
+        return pa.concat_tables([pa.table(table)] * len(metas))  # blocks of the same rows are scored as often as they occur
+
+    return parts.groupBy("block").applyInArrow(run, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score and score.
+    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity (by token, of the score).
 
     Rows whose crc32(key as text) mod 7 is 2 are held out (a null key counts as the empty text), the model learns from
     all others. A null or empty text is its end alone. Repeated rows count, and are scored, as often as they occur.
-    What is known of a document's words is added up over buckets, in arrays for a block of documents at a time.
+    Discounts come from the numbers of cells, and of words' contexts, that occur once and twice. No task holds more
+    than a block of documents or a bucket; what is broadcast are the split contexts, at most 8 for each bucket.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -318,86 +628,28 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     docs = docs.select(F.col(key).cast("long").alias("id"), held.alias("held"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    hot = hot_words(docs)
-    state = kept(merged(dealt(docs, hot, buckets)), "tokens")
-    of_words, of_docs = state.filter("bucket >= 0"), state.filter("bucket < 0")
-
-    def hot_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0):
-                c = Cells.load(data.as_py())
-                c = c.only(np.isin(c.words, hot))
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(np.searchsorted(hot, c.words)[c.of] * (CLASSES + 1) + c.ctx), "n": pa.array(c.count)})
-
-    found = of_words.select("cells").mapInArrow(hot_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()  # at most HOT_MOST * (CLASSES + 1) rows
-    cell = found.column("cell").to_numpy()
-    frequent = Cells(hot, cell // (CLASSES + 1), cell % (CLASSES + 1), found.column("n").to_numpy())
-
-    def counts(c: Cells) -> np.ndarray:
-        contexts = np.bincount(c.of, np.minimum(c.count, 1), len(c.words))
-        return np.concatenate([np.bincount(c.ctx, c.count, CLASSES + 1), [(c.word_counts() > 0).sum(), c.count.sum(), (c.count == 1).sum(), (c.count == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum()]])
-
-    both = lambda f, n: summed(of_words, lambda c: f(without(c, hot)), n) + f(frequent)
-    got = both(counts, CLASSES + 7)
-    words, tokens, one2, two2, one1, two1 = got[CLASSES + 1 :].tolist()
-    clip = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b) if a + b else 0.5))
-    totals = Totals(int(words), int(tokens), got[: CLASSES + 1], (clip(one1, two1), clip(one2, two2)))
+    partitions = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * buckets), buckets // 4)
+    deal = dealing(docs, buckets)
+    table = kept(merged(dealt(docs, deal), partitions), "cells")
+    of_buckets = table.filter("bucket >= 0")
+    cells, refs = (of_buckets.select("bucket", F.lit(k).alias("kind"), F.col(c).alias("blob")) for k, c in ((CELLS, "cells"), (REFS, "refs")))
+    empty = spark.createDataFrame([], ROWS)
+    rows = kept(first_pass(union([empty, cells]), deal.split, partitions), "seatings")
+    above, totals = parents(rows, None, 0), None
     for k in range(ROUNDS + 1):
-
-        def after(c: Cells, k: int = k) -> np.ndarray:
-            *_, last = states(c, totals, k)
-            return sums_of(c, *last[1:])
-
-        got = both(after, CLASSES + 3)
-        totals.rounds.append((got[: CLASSES + 1], int(got[-2]), int(got[-1])))
-    dense = Cells(hot, np.repeat(np.arange(len(hot)), CLASSES + 1), np.tile(np.arange(CLASSES + 1), len(hot)), np.zeros(len(hot) * (CLASSES + 1), np.int64))
-    dense.count[cell] = frequent.count
-    hot_p = np.log10(probabilities(dense, totals)) if len(hot) else np.empty(0)
-    hot_c = dense.word_counts()
-
-    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data, refs in zip(b.column(0), b.column(1), strict=True):
-                c = Cells.load(data.as_py())
-                blocks, n, block, doc = unpack(refs.as_py())
-                known = c.word_counts()
-                log_p = np.log10(probabilities(c, totals))
-                if len(hot):
-                    is_hot = np.isin(c.words, hot)
-                    number = np.searchsorted(hot, c.words) % len(hot)
-                    known = np.where(is_hot, hot_c[number], known)
-                    mine = is_hot[c.of]
-                    log_p[mine] = hot_p[number[c.of[mine]] * (CLASSES + 1) + c.ctx[mine]]
-                of = np.repeat(np.arange(len(c.of)), n)
-                at = block.astype(np.int64) * (1 << 32) + doc
-                order = np.argsort(at, kind="stable")
-                of, at = of[order], at[order]
-                start = grouped(at)[:-1]
-                base, seen = np.log10(known + 1.0)[c.of][of], (known > 0)[c.of][of]
-                sums = np.add.reduceat(log_p[of], start), np.add.reduceat(base, start), np.add.reduceat(seen.astype(np.int64), start)
-                number = (at[start] >> 32).astype(np.int64)
-                cut = grouped(number)
-                rows = [(int(blocks[number[i]]), struct.pack("<I", j - i) + (at[start[i:j]] & 0xFFFF).astype("<u2").tobytes() + sums[0][i:j].astype("<f8").tobytes() + sums[1][i:j].astype("<f8").tobytes() + sums[2][i:j].astype("<u4").tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "part"])
-
-    parts = of_words.select("cells", "refs").mapInArrow(scored, "block long, part binary")
-    parts = parts.unionByName(of_docs.select("block", F.lit(None).cast("binary").alias("part"), F.col("refs").alias("docs")), allowMissingColumns=True)
-    floor = math.log10(totals.tokens + totals.words + 1)
-
-    def joined(group: pa.Table) -> pa.Table:
-        metas = [x for x in group.column("docs").to_pylist() if x is not None]
-        ids, null, held, n = unpack(metas[0])
-        p, base, seen = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-        for data in sorted(x for x in group.column("part").to_pylist() if x is not None):
-            (k,) = struct.unpack_from("<I", data)
-            doc = np.frombuffer(data, "<u2", k, 4)
-            p[doc] += np.frombuffer(data, "<f8", k, 4 + 2 * k)
-            base[doc] += np.frombuffer(data, "<f8", k, 4 + 10 * k)
-            seen[doc] += np.frombuffer(data, "<u4", k, 4 + 18 * k)
-        ids = (ids.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-        n = n.astype(np.int64)
-        times = len(metas)  # blocks of the same rows, which count and are scored as often as they occur
-        table = {key: pa.array(ids, mask=null.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(seen // times), "train_tokens": pa.array(np.full(len(ids), totals.tokens)), "base_score": pa.array(base / times - n * floor), "score": pa.array(p / times)}
-        return pa.concat_tables([pa.table(table)] * times)
-
-    return parts.groupBy("block").applyInArrow(joined, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        got = above.filter(F.col("kind") == WORD).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abc"), *(F.count_if(F.expr(x)).alias(n) for x, n in (("c > 0", "words"), ("a = 1", "one"), ("a = 2", "two")))).first()
+        if totals is None:
+            twice = rows.filter(F.col("kind") == STATE).agg(F.sum("a").alias("one"), F.sum("b").alias("two")).first()
+            clip = lambda x: min(0.9, max(0.05, x["one"] / (x["one"] + 2 * x["two"]) if x["one"] else 0.5))
+            totals = Totals(got["words"], got["c"], (clip(got), clip(twice)))
+        totals.rounds.append((got["a"], got["b"]))
+        reply = rows.filter(F.col("kind") <= CONTEXT).select("bucket", "kind", "h").join(above, ["kind", "h"])
+        known = union([rows.filter(F.col("kind") == STATE), cells, reply])
+        if k < ROUNDS:
+            after = kept(next_pass(known, deal.split, totals, k + 1, partitions), "seatings")
+            above_after = parents(after, totals, k + 1)
+            drop_kept(rows, above)
+            rows, above = after, above_after
+    parts = last_pass(union([known, refs]), totals, partitions)
+    documents = table.filter("bucket < 0").select("block", F.lit(None).cast("long").alias("part"), F.col("refs").alias("payload"))
+    return scored(parts.unionByName(documents), key, totals)

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from gristmill.llm import audio, bpe, fingerprint, licences, mixing, neardup, pitman_yor, quality, warc, wrapper
+from gristmill.llm import audio, bpe, fingerprint, licences, mixing, neardup, quality, warc, wrapper
 from gristmill.llm import queries as llm_queries
 
 from ..conftest import SF
@@ -416,70 +416,3 @@ def test_mixing(spark):
     assert mixing.mix(d, {"big": 1.0}).filter("source = 'small'").count() == 0 and mixing.mix(d.limit(0)).count() == 0
     huge = mixing.source_rates(d, {"small": 1.0}).filter("rate > 0").first()
     assert len(huge["cdf"]) > huge["rate"] and abs(huge["cdf"][-1] - 1) < 1e-9
-
-
-# 10: language model
-
-
-def tokens(text):
-    return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w] + ["\0"]
-
-
-def test_language_model(spark):
-    rng = random.Random(11)
-
-    def follow(n):
-        at = [rng.randrange(60)]
-        for _ in range(n):  # a word mostly has one of two after it
-            at.append((at[-1] * 7 + rng.randrange(2)) % 60 if rng.random() < 0.9 else rng.randrange(60))
-        return " ".join(f"W{x}" for x in at)
-
-    texts = list(enumerate([*ODD, *(follow(rng.randrange(200)) for _ in range(150))]))
-    df = docs(spark, texts, "clash").union(docs(spark, texts[-2:], "clash"))
-    got = pitman_yor.score(df).collect()
-    assert len(got) == len(texts) + 2
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    count = Counter(w for i, t in texts + texts[-2:] if not held(i) for w in tokens(t))
-    n, v = sum(count.values()), len(count)
-    by = dict(texts)
-    for r in got:
-        w = tokens(by[r["doc_id"]])
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(w), sum(count[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-        assert r["score"] < 0
-    out = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
-    parts = pitman_yor.score(df.repartition(5)).collect()
-    assert sorted((r["doc_id"], round(r["score"], 6)) for r in parts) == sorted((r["doc_id"], round(r["score"], 6)) for r in got)
-    assert pitman_yor.score(df.limit(0)).count() == 0
-
-
-def test_probabilities_of_a_context_sum_to_one():
-    rng = np.random.default_rng(12)
-    words_, classes = np.sort(rng.integers(1, 2**63, 50).astype(np.uint64)), pitman_yor.CLASSES + 1
-    cells = pitman_yor.Cells(words_, np.repeat(np.arange(50), classes), np.tile(np.arange(classes), 50), np.where(rng.random(50 * classes) < 0.02, rng.integers(1, 900, 50 * classes), 0))
-    totals = pitman_yor.Totals(50, int(cells.count.sum()), np.bincount(cells.ctx, cells.count, classes), (0.5, 0.7))
-    for k in range(pitman_yor.ROUNDS + 1):
-        *_, (_, t2, c1, t1) = pitman_yor.states(cells, totals, k)
-        assert (t2 <= cells.count).all() and (t2 >= np.minimum(cells.count, 1)).all() and (t1 <= c1).all()
-        got = pitman_yor.sums_of(cells, t2, c1, t1)
-        totals.rounds.append((got[:classes], int(got[-2]), int(got[-1])))
-    p = pitman_yor.probabilities(cells, totals).reshape(50, classes).sum(axis=0)
-    none = 0.0
-    for tables, customers, parents in totals.rounds[-pitman_yor.SAMPLES :]:
-        s, d = pitman_yor.STRENGTH, totals.discount
-        base = (s[0] + d[0] * parents) / 51 / (s[0] + customers)
-        none = none + (s[1] + d[1] * tables) * base / (s[1] + totals.customers) / pitman_yor.SAMPLES
-    assert np.allclose(p + none, 1)
-
-
-def test_seating_has_the_right_mean():
-    count, a, d = 3000, 2.0, 0.3
-    t = pitman_yor.seat(np.full(4000, count), np.full(4000, a), d, pitman_yor.mix(np.arange(4000, dtype=np.uint64)))
-    rng, mean = random.Random(13), 0
-    for _ in range(300):
-        tables = 1
-        for i in range(1, count):
-            tables += rng.random() < a / (a + i - d * tables)
-        mean += tables / 300
-    assert t.mean() == pytest.approx(mean, rel=0.05)
