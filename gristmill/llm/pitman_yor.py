@@ -7,8 +7,8 @@ are taken out and reseated together, given how all the others sit. Scores averag
 several seatings.
 
 Tokens travel once, as cells (word before, word, count) of a block of documents, to the bucket of the word before.
-There the restaurants of that bucket are seated. Between sweeps buckets send how many tables each word has, and get
-back its customers and tables in the parent; a round's sweeps keep to the parent as it was at the start of the round.
+There the restaurants of that bucket are seated. Between rounds buckets send how many tables each word has to the
+word's place, and get back its customers and tables in the parent; a round's sweeps keep to the parent as it was at the start of the round.
 Contexts that hold more than a quarter of a bucket are split by word, and their totals exchanged in the same way.
 Draws are hashed from words and rounds, so they don't depend on partitions or retries.
 """
@@ -32,7 +32,7 @@ from .neardup import mix, word_hashes
 
 START, END = np.uint64(0x57A2757A2757A275), np.uint64(0x5EED5EED5EED5EED)
 #: Text that is packed together, and text whose tokens one bucket holds, in bytes.
-BLOCK_BYTES, BUCKET_BYTES, BLOCK_DOCS = 16 << 20, 16 << 20, 16384
+BLOCK_BYTES, BUCKET_BYTES, BLOCK_DOCS = 8 << 20, 16 << 20, 16384
 #: Exchanges with the parent, the last of them that scores are averaged over, and sweeps of the restaurants in each.
 ROUNDS, SAMPLES, SWEEPS = 4, 3, 2
 STRENGTH = (1.0, 1.0)  # of the parent and of the restaurants below it
@@ -40,9 +40,10 @@ STRENGTH = (1.0, 1.0)  # of the parent and of the restaurants below it
 EXACT = 1024
 #: Words of a restaurant that are reseated one after another; those of the same turn (and all beyond EXACT) are reseated side by side.
 TURNS = 8
-#: Kinds of rows: of a word or a split context (tables, tables in the parent, customers), a seating, cells, references.
-WORD, CONTEXT, STATE, CELLS, REFS = range(5)
-ROWS = "bucket long, kind int, h long, a long, b long, c long, blob binary"
+#: Kinds of rows: a bucket's cells, the blocks they are from, its seating, what it sends to a place, what that replies, and the place's sums.
+CELLS, REFS, STATE, SENT, REPLY, SUMS = range(6)
+ROWS = "bucket long, kind int, place long, blob binary, one long, two long"
+ROW_TYPES = {"bucket": pa.int64(), "kind": pa.int32(), "place": pa.int64(), "blob": pa.binary(), "one": pa.int64(), "two": pa.int64()}
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -165,8 +166,9 @@ def dealt(docs: DataFrame, deal: Dealing) -> DataFrame:
             order = np.lexsort((w, u, where))
             w, u, where = w[order], u[order], where[order]
             cut = runs(where, u, w)
-            doc = np.repeat(np.arange(len(texts)), n)[order]
-            cell = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+            doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)[order]
+            cell = np.repeat(np.arange(len(cut) - 1, dtype=np.int32), np.diff(cut))
+            del order
             count = np.add.reduceat((~np.array(held, bool))[doc].astype(np.int64), cut[:-1])
             by_doc = np.argsort(doc, kind="stable")  # of each document its cells, in order
             step = np.diff(cell[by_doc], prepend=0)
@@ -479,87 +481,100 @@ def probabilities(cells: Cells, t: np.ndarray, parent: Parent, totals: Totals, k
     return (np.maximum(cells.count - d * t, 0) + (s + d * parent.ctx_tables[cells.ctx]) * single[cells.word]) / (s + parent.ctx_customers[cells.ctx])
 
 
-def rows_of(bucket: int, cells: Cells, t: np.ndarray, before: np.ndarray, split: np.ndarray, state: bytes) -> pa.Table:
-    """What a bucket sends after a pass: its words' tables, those of its split contexts, and its seating."""
+def place_of(h: np.ndarray, places: int) -> np.ndarray:
+    """Where a word, or split context, is added up over buckets; sorted hashes have sorted places."""
+    return (((h >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)).astype(np.int64)
+
+
+def table_of(rows: list[tuple]) -> pa.Table:
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(ROW_TYPES.items())})
+
+
+def rows_of(bucket: int, cells: Cells, t: np.ndarray, before: np.ndarray, split: np.ndarray, state: bytes, places: int) -> pa.Table:
+    """What a bucket sends after a pass: to each place its words' tables and its split contexts', and its seating."""
     ctx = np.flatnonzero(np.isin(cells.contexts, split))
-    n, m = len(cells.words), len(ctx)
-    tables = np.bincount(cells.ctx, t, len(cells.contexts)).astype(np.int64)
-    columns = {
-        "bucket": np.full(n + m + 1, bucket), "kind": np.repeat(np.array([WORD, CONTEXT, STATE], np.int32), [n, m, 1]),
-        "h": np.concatenate([cells.words, cells.contexts[ctx], np.zeros(1, np.uint64)]).view(np.int64),
-        "a": np.concatenate([np.bincount(cells.word, t, n).astype(np.int64), tables[ctx], [(cells.count == 1).sum()]]),
-        "b": np.concatenate([before, np.zeros(m, np.int64), [(cells.count == 2).sum()]]),
-        "c": np.concatenate([cells.word_counts, cells.customers[ctx], [0]]),
-    }
-    return pa.table({**{k: pa.array(v) for k, v in columns.items()}, "blob": pa.array([None] * (n + m) + [state], pa.binary())})
-
-
-def read_group(group: pa.Table) -> tuple[int, Cells, list[np.ndarray], pa.Table]:
-    """bucket, cells, seating (empty before the first) and what the parent replied of a bucket."""
-    kind = group.column("kind").to_numpy()
-    blob = lambda k: [group.column("blob")[int(i)].as_py() for i in np.flatnonzero(kind == k)]
+    contexts, tables = cells.contexts[ctx], np.bincount(cells.ctx, t, len(cells.contexts)).astype(np.int64)[ctx]
+    of_words, of_contexts = (np.searchsorted(place_of(h, places), np.arange(places + 1)) for h in (cells.words, contexts))
+    sums = np.bincount(cells.word, t, len(cells.words)).astype(np.int64)
+    rows = [(bucket, STATE, None, state, int((cells.count == 1).sum()), int((cells.count == 2).sum()))]
+    for k in range(places):
+        i, j = slice(of_words[k], of_words[k + 1]), slice(of_contexts[k], of_contexts[k + 1])
+        if i.stop > i.start or j.stop > j.start:
+            rows.append((bucket, SENT, k, pack(cells.words[i], sums[i], before[i], cells.word_counts[i], contexts[j], tables[j], cells.customers[ctx[j]]), None, None))
+    return table_of(rows)
+
+
+def read_group(group: pa.Table) -> tuple[int, Cells, list[np.ndarray], list[list[np.ndarray]]]:
+    """bucket, cells, seating (empty before the first) and replies, in order of their places, of a bucket."""
+    kind, place = group.column("kind").to_numpy(), group.column("place").to_pylist()
+    blob = lambda k: [group.column("blob")[int(i)].as_py() for i in sorted(np.flatnonzero(kind == k), key=lambda i: place[i] or 0)]
     state = blob(STATE)
-    return group.column("bucket")[0].as_py(), Cells(blob(CELLS)[0]), unpack(state[0]) if state else [], group.filter(pa.array(kind <= CONTEXT))
+    return group.column("bucket")[0].as_py(), Cells(blob(CELLS)[0]), unpack(state[0]) if state else [], [unpack(x) for x in blob(REPLY)]
 
 
-def parent_of(cells: Cells, t: np.ndarray, reply: pa.Table) -> Parent:
-    kind, h, a, b, c = (reply.column(x).to_numpy() for x in ("kind", "h", "a", "b", "c"))
-    h = h.view(np.uint64)
-    order = np.flatnonzero(kind == WORD)
-    order = order[np.argsort(h[order])]
-    if len(order) != len(cells.words) or (h[order] != cells.words).any():
-        raise ValueError("the parent's reply doesn't fit the bucket's words")
+def parent_of(cells: Cells, t: np.ndarray, replies: list[list[np.ndarray]], split: np.ndarray) -> Parent:
+    a, b, c, ctx_a, ctx_c = (np.concatenate([r[i] for r in replies]).astype(np.int64) for i in range(5))
+    at = np.flatnonzero(np.isin(cells.contexts, split))
+    if len(a) != len(cells.words) or len(ctx_a) != len(at):
+        raise ValueError("the replies don't fit the bucket's words")
     tables, customers = np.bincount(cells.ctx, t, len(cells.contexts)).astype(np.int64), cells.customers.copy()
-    split = np.flatnonzero(kind == CONTEXT)
-    at = np.searchsorted(cells.contexts, h[split])
-    tables[at], customers[at] = a[split], c[split]
-    return Parent(a[order], b[order], c[order], tables, customers)
+    tables[at], customers[at] = ctx_a, ctx_c
+    return Parent(a, b, c, tables, customers)
 
 
-def union(spark_rows: list[DataFrame]) -> DataFrame:
-    out = spark_rows[0]
-    for r in spark_rows[1:]:
-        out = out.unionByName(r, allowMissingColumns=True)
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
     return out
 
 
-def first_pass(cells: DataFrame, split: np.ndarray, partitions: int) -> DataFrame:
+def by_key(rows: DataFrame, key: str, n: int):
+    """rows grouped by key, in n partitions."""
+    return rows.repartition(n, key).groupBy(key)
+
+
+def first_pass(cells: DataFrame, split: np.ndarray, places: int, partitions: int) -> DataFrame:
     """Everybody of a word at one table."""
 
     def run(group: pa.Table) -> pa.Table:
         bucket, c, _, _ = read_group(group)
-        return rows_of(bucket, c, c.tables(None), np.zeros(len(c.words), np.int64), split, pack(np.ones(len(c.several), np.int64)))
+        return rows_of(bucket, c, c.tables(None), np.zeros(len(c.words), np.int64), split, pack(np.ones(len(c.several), np.int64)), places)
 
-    return cells.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(run, ROWS)
+    return by_key(cells, "bucket", partitions).applyInArrow(run, ROWS)
 
 
-def next_pass(rows: DataFrame, split: np.ndarray, totals: Totals, k: int, partitions: int) -> DataFrame:
+def next_pass(rows: DataFrame, split: np.ndarray, totals: Totals, k: int, places: int, partitions: int) -> DataFrame:
     """Round k from rows (cells, seatings and replies after round k - 1). Seatings that count are carried along."""
 
     def run(group: pa.Table) -> pa.Table:
-        bucket, c, state, reply = read_group(group)
+        bucket, c, state, replies = read_group(group)
         t = c.tables(state[0])
-        parent = parent_of(c, t, reply)
+        parent = parent_of(c, t, replies, split)
         if k - 1 > ROUNDS - SAMPLES:
-            state += [state[0], parent.customers, parent.tables, parent.ctx_tables]
+            state += [state[0], parent.customers, parent.tables, parent.ctx_tables[np.isin(c.contexts, split)]]
         state[0] = sweep(c, state[0], parent, totals, k - 1)
-        return rows_of(bucket, c, c.tables(state[0]), parent.tables, split, pack(*state))
+        return rows_of(bucket, c, c.tables(state[0]), parent.tables, split, pack(*state), places)
 
-    return rows.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(run, ROWS)
+    return by_key(rows, "bucket", partitions).applyInArrow(run, ROWS)
 
 
-def last_pass(rows: DataFrame, totals: Totals, partitions: int) -> DataFrame:
+def last_pass(rows: DataFrame, split: np.ndarray, totals: Totals, partitions: int) -> DataFrame:
     """block, part (the bucket) and payload: of each block's cells in the bucket log10 of the averaged probability, and the word's count."""
 
     def run(group: pa.Table) -> pa.Table:
-        bucket, c, state, reply = read_group(group)
-        parent = parent_of(c, c.tables(state[0]), reply)
-        seatings_ = [state[i : i + 4] for i in range(1, len(state), 4)] + [[state[0], parent.customers, parent.tables, parent.ctx_tables]]
+        bucket, c, state, replies = read_group(group)
+        parent = parent_of(c, c.tables(state[0]), replies, split)
+        at = np.flatnonzero(np.isin(c.contexts, split))
+        all_ = [state[i : i + 4] for i in range(1, len(state), 4)] + [[state[0], parent.customers, parent.tables, parent.ctx_tables[at]]]
         p = np.zeros(len(c.count))
-        for n, (t, *above) in enumerate(seatings_):
-            here = Parent(above[0].astype(np.int64), above[1].astype(np.int64), parent.count, above[2].astype(np.int64), parent.ctx_customers)
-            p += probabilities(c, c.tables(t), here, totals, ROUNDS - len(seatings_) + 1 + n)
-        log_p, known = np.log10(p / len(seatings_)).astype("<f4").view("<u4"), parent.count[c.word]
+        for n, (several, customers, tables, split_tables) in enumerate(all_):
+            t = c.tables(several)
+            ctx_tables = np.bincount(c.ctx, t, len(c.contexts)).astype(np.int64)
+            ctx_tables[at] = split_tables
+            here = Parent(customers.astype(np.int64), tables.astype(np.int64), parent.count, ctx_tables, parent.ctx_customers)
+            p += probabilities(c, t, here, totals, ROUNDS - len(all_) + 1 + n)
+        log_p, known = np.log10(p / len(all_)).astype("<f4").view("<u4"), parent.count[c.word]
         refs = next(group.column("blob")[int(i)].as_py() for i in np.flatnonzero(group.column("kind").to_numpy() == REFS))
         blocks, sizes, steps = unpack(refs)
         ends = np.cumsum(sizes.astype(np.int64))
@@ -569,23 +584,34 @@ def last_pass(rows: DataFrame, totals: Totals, partitions: int) -> DataFrame:
             out.append(pack(log_p[at], known[at]))
         return pa.table({"block": pa.array(blocks.astype(np.int64)), "part": pa.array(np.full(len(out), bucket)), "payload": pa.array(out, pa.binary())})
 
-    return rows.repartition(partitions, "bucket").groupBy("bucket").applyInArrow(run, "block long, part long, payload binary")
-
+    return by_key(rows, "bucket", partitions).applyInArrow(run, "block long, part long, payload binary")
 
-def parents(rows: DataFrame, totals: Totals | None, k: int) -> DataFrame:
-    """kind, h, a, b, c: of each word its customers and tables in the parent and its count; of split contexts their totals."""
-    sums = rows.filter(F.col("kind") <= CONTEXT).groupBy("kind", "h").agg(F.sum("a").alias("a"), F.max("b").alias("b"), F.sum("c").alias("c"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind, h, a, b = (batch.column(i).to_numpy() for i in range(4))
-            t = np.minimum(a, 1)
-            word = np.flatnonzero(kind == WORD)
-            if totals is not None and len(word):
-                t[word] = seat_parent(h[word].view(np.uint64), a[word], b[word], totals, k)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(kind == WORD, t, 0)), batch.column(4)], names=["kind", "h", "a", "b", "c"])
+def replies(rows: DataFrame, totals: Totals | None, k: int, places: int) -> DataFrame:
+    """What buckets get back: of each of their words its customers and tables in the parent and its count, of split contexts tables and customers. And a row of sums for each place."""
 
-    return kept(sums.mapInArrow(run, "kind int, h long, a long, b long, c long"), "parent")
+    def run(group: pa.Table) -> pa.Table:
+        place, buckets = group.column("place")[0].as_py(), group.column("bucket").to_pylist()
+        parts = [unpack(x.as_py()) for x in group.column("blob")]
+        h, a, before, c, ctx, ctx_a, ctx_c = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        words, of = np.unique(h, return_inverse=True)
+        contexts, of_ctx = np.unique(ctx, return_inverse=True)
+        add = lambda x, of, n: np.bincount(of, x, n).astype(np.int64)
+        customers, count = add(a, of, len(words)), add(c, of, len(words))
+        tables = np.zeros(len(words), np.int64)
+        tables[of] = before  # all buckets were told the same
+        tables = np.minimum(customers, 1) if totals is None else seat_parent(words, customers, tables, totals, k)
+        whole = [x[of] for x in (customers, tables, count)], [add(x, of_ctx, len(contexts))[of_ctx] for x in (ctx_a, ctx_c)]
+        rows_, i, j = [], 0, 0
+        for bucket, p in zip(buckets, parts, strict=True):
+            rows_.append((bucket, REPLY, place, pack(*(x[i : i + len(p[0])] for x in whole[0]), *(x[j : j + len(p[4])] for x in whole[1])), *[None] * 6))
+            i, j = i + len(p[0]), j + len(p[4])
+        rows_.append((None, SUMS, place, None, *(int(x.sum()) for x in (customers, tables, count, count > 0, customers == 1, customers == 2))))
+        names = dict.fromkeys(("customers", "tables", "tokens", "words", "one", "two"), pa.int64())
+        return pa.table({n: pa.array([r[i] for r in rows_], t) for i, (n, t) in enumerate((dict(list(ROW_TYPES.items())[:4]) | names).items())})
+
+    sent = rows.filter(F.col("kind") == SENT).select("bucket", "place", "blob")
+    return kept(by_key(sent, "place", places).applyInArrow(run, "bucket long, kind int, place long, blob binary, customers long, tables long, tokens long, words long, one long, two long"), "replies")
 
 
 def scored(parts: DataFrame, key: str, totals: Totals) -> DataFrame:
@@ -629,27 +655,26 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     partitions = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * buckets), buckets // 4)
+    places = -(-buckets // 4)
     deal = dealing(docs, buckets)
     table = kept(merged(dealt(docs, deal), partitions), "cells")
     of_buckets = table.filter("bucket >= 0")
     cells, refs = (of_buckets.select("bucket", F.lit(k).alias("kind"), F.col(c).alias("blob")) for k, c in ((CELLS, "cells"), (REFS, "refs")))
-    empty = spark.createDataFrame([], ROWS)
-    rows = kept(first_pass(union([empty, cells]), deal.split, partitions), "seatings")
-    above, totals = parents(rows, None, 0), None
+    rows = kept(first_pass(union([spark.createDataFrame([], ROWS), cells]), deal.split, places, partitions), "seatings")
+    back, totals = replies(rows, None, 0, places), None
     for k in range(ROUNDS + 1):
-        got = above.filter(F.col("kind") == WORD).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abc"), *(F.count_if(F.expr(x)).alias(n) for x, n in (("c > 0", "words"), ("a = 1", "one"), ("a = 2", "two")))).first()
+        got = back.filter(F.col("kind") == SUMS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers", "tables", "tokens", "words", "one", "two"))).first()
         if totals is None:
-            twice = rows.filter(F.col("kind") == STATE).agg(F.sum("a").alias("one"), F.sum("b").alias("two")).first()
+            cell = rows.filter(F.col("kind") == STATE).agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
             clip = lambda x: min(0.9, max(0.05, x["one"] / (x["one"] + 2 * x["two"]) if x["one"] else 0.5))
-            totals = Totals(got["words"], got["c"], (clip(got), clip(twice)))
-        totals.rounds.append((got["a"], got["b"]))
-        reply = rows.filter(F.col("kind") <= CONTEXT).select("bucket", "kind", "h").join(above, ["kind", "h"])
-        known = union([rows.filter(F.col("kind") == STATE), cells, reply])
+            totals = Totals(got["words"], got["tokens"], (clip(got), clip(cell)))
+        totals.rounds.append((got["customers"], got["tables"]))
+        known = union([rows.filter(F.col("kind") == STATE), cells, back.filter(F.col("kind") == REPLY).select("bucket", "kind", "place", "blob")])
         if k < ROUNDS:
-            after = kept(next_pass(known, deal.split, totals, k + 1, partitions), "seatings")
-            above_after = parents(after, totals, k + 1)
-            drop_kept(rows, above)
-            rows, above = after, above_after
-    parts = last_pass(union([known, refs]), totals, partitions)
+            after = kept(next_pass(known, deal.split, totals, k + 1, places, partitions), "seatings")
+            back_after = replies(after, totals, k + 1, places)
+            drop_kept(rows, back)
+            rows, back = after, back_after
+    parts = last_pass(union([known, refs]), deal.split, totals, partitions)
     documents = table.filter("bucket < 0").select("block", F.lit(None).cast("long").alias("part"), F.col("refs").alias("payload"))
     return scored(parts.unionByName(documents), key, totals)
