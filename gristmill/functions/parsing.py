@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 SECRETS = ("TOKEN", "SECRET", "PASSWORD", "KEY", "CREDENTIAL")
 #: Keys by which a score and its reasons are given.
 SCORE_KEYS = ("score", "rating", "value", "level", "label")
-REASON_KEYS = ("rationale", "reason", "reasoning", "explanation", "justification")
+REASON_KEYS = ("rationale", "reasoning", "explanation", "justification", "justificativa", "reason", "evaluation", "assessment")
+#: What the synthesized predicate is called in Portuguese.
+PARTICIPATION = {"is participated by": "envolve"}
 TRUE_WORDS = ("true", "yes", "1", "sim")
 #: Date patterns in the order they are tried (dashed, written, dotted).
 DATES = (r"\b(\d{2}-\d{2}-\d{2,4})(?=\D|$)", r"(?i)\b(\d{1,2} de [a-zç]{3,4}\.?)", r"\b(\d{2}\.\d{2})\b")

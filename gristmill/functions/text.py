@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Languages the script check applies to.
 LATIN_LANGUAGES = ("pt", "en", "es", "fr", "de", "it")
@@ -30,31 +26,35 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition; there is no built-in."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def icu(text: Column, name: str, method: str, *args: Column | bool) -> Column:
+    """A static method of ICU, which Spark ships, on a text; null stays null."""
+    given = F.coalesce(text, F.lit(""))
+    out = F.reflect(F.lit(f"com.ibm.icu.{name}"), F.lit(method), given, *(a if isinstance(a, Column) else F.lit(a) for a in args))
+    return F.when(text.isNotNull(), out)
+
 
+def nfkc(text: Column) -> Column:
+    """Compatibility composition."""
+    return icu(text, "text.Normalizer", "compose", True)
 
-@F.pandas_udf(StringType())
-def nfkc_casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
+def nfkc_casefold(text: Column) -> Column:
+    return icu(nfkc(text), "lang.UCharacter", "foldCase", True)
 
-@F.pandas_udf(StringType())
-def ascii_fold(text: pd.Series) -> pd.Series:
+
+def ascii_fold(text: Column) -> Column:
     """Accents and whatever else isn't ASCII dropped, lower case."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower())
+    return F.lower(F.regexp_replace(icu(text, "text.Normalizer", "decompose", True), r"[^\x00-\x7F]", ""))
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of composed text."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(nfkc(text)), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
 def query_tokens(text: Column, least: int = 3) -> Column:
     """Distinct word tokens of a question that aren't stopwords nor short."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
+    found = F.regexp_extract_all(nfkc_casefold(text), F.lit(r"(?U)(\w+)"), F.lit(1))
     return F.filter(F.array_distinct(found), lambda w: (F.length(w) >= least) & ~w.isin(*STOPWORDS))
 
 
@@ -98,6 +98,40 @@ def segment_quality(segments: Column) -> Column:
     return F.when(segments.isNull() | (n == 0), 0.5).otherwise(F.greatest(F.lit(0.0), score))
 
 
+def most_equal(values: Column) -> Column:
+    """How often the most frequent element of an array of numbers is in it."""
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(x == acc["last"], acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    return F.aggregate(F.sort_array(values), start, step, lambda acc: acc["most"])
+
+
+def repetition(text: Column) -> Column:
+    """1 less the worst share of the top word (if over 0.15) or of a 3- to 5-gram that occurs four times; 0.7 for fewer than five words.
+
+    N-grams are compared by 64-bit hashes within the row: no shuffle. A null text is null.
+    """
+
+    def score(w: Column) -> Column:
+        n = F.size(w)
+
+        def grams(k: int) -> Column:
+            each = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(k))))
+            return most_equal(each) / n.cast("double")
+
+        top = F.transform(F.array(most_equal(w) / n.cast("double")), lambda x: F.when(x > 0.15, x).otherwise(0.0))
+        more = F.transform(F.array(*(F.struct(F.lit(k).alias("k"), grams(k).alias("share")) for k in (3, 4, 5))), lambda x: F.when(x["share"] * n >= 3.5, x["share"] * x["k"]).otherwise(0.0))
+        worst = F.array_max(F.concat(top, more))
+        return F.when(n < 5, 0.7).otherwise(F.greatest(F.lit(0.0), 1 - worst))
+
+    # the words' hashes are an element of an array here, so that they are computed once and not for each n-gram
+    hashes = F.transform(words(F.lower(text)), lambda x: F.xxhash64(x))
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(hashes), score), 1))
+
+
 def estimate_tokens(text: Column) -> Column:
     """A third of the characters, one at least; 0 for an empty text."""
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 3).cast("int")))

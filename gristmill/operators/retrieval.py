@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
 from gristmill.functions.stats import ratio
+from gristmill.tables import kept
 
 #: The names, sizes and overlaps of the chunkers that cut by length, in characters.
 WINDOWS = {"token_512": (512, 64), "token_1024": (1024, 128)}
@@ -86,7 +87,7 @@ def bm25_index(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float =
     Counts by term and document, document lengths and two numbers of the whole corpus; w is the saturated frequency.
     """
     tokens = docs.select(key, F.explode(tx.tokens(F.col(text))).alias("term"))
-    tf = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = kept(tokens.groupBy(key, "term").agg(F.count("*").alias("tf")), "terms-of-documents")
     length = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
     corpus = docs.select(key).agg(F.count("*").alias("n"))
     mean = length.agg(F.sum("dl").alias("words"))
@@ -100,15 +101,24 @@ def bm25_index(docs: DataFrame, key: str, text: str, k1: float = 1.5, b: float =
     return postings, terms
 
 
-def bm25(questions: DataFrame, index: tuple[DataFrame, DataFrame], key: str, k: int) -> DataFrame:
+def bm25(questions: DataFrame, index: tuple[DataFrame, DataFrame], key: str, k: int, docs: DataFrame | None = None) -> DataFrame:
     """(query, key, rank, score) of the k best documents of questions(query, text); repeated words count again.
 
-    Only postings of the questions' words are joined; documents without any of them would score 0 and aren't ranked.
+    Only postings of the questions' words are joined. With docs(key, ...) documents without any of them score 0 and are
+    ranked as well, in order of their keys: no more than the first few can be among the best, so only these are added.
     """
     postings, terms = index
     words = questions.select("query", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     hits = words.join(terms, "term").join(postings, "term")
     scored = hits.groupBy("query", key).agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("w")), 6).alias("score"))
+    if docs is not None:
+        scored = kept(scored, "scores")
+        found = questions.select("query").join(scored.groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("good")), "query", "left").fillna(0, ["n", "good"])
+        short = found.filter(F.col("good") < k)
+        most = k + (short.agg(F.max("n")).first()[0] or 0)
+        first = F.broadcast(docs.select(key).orderBy(key).limit(most))  # as many as the longest list that lacks some
+        none = short.select("query").join(first).join(scored.select("query", key), ["query", key], "left_anti")
+        scored = scored.unionByName(none.withColumn("score", F.lit(0.0)))
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
 
@@ -116,7 +126,7 @@ def bm25(questions: DataFrame, index: tuple[DataFrame, DataFrame], key: str, k:
 def label_index(nodes: DataFrame) -> DataFrame:
     """(token, node_id) of nodes that a question can be linked to."""
     n = nodes.filter(F.col("type").isin("entity", "event", "concept"))
-    return n.select("node_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("label"), F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("token"))
+    return n.select("node_id", F.explode(F.array_distinct(F.regexp_extract_all(tx.nfkc_casefold(F.col("label")), F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("token"))
 
 
 def link_entities(questions: DataFrame, nodes: DataFrame, k: int = 50) -> DataFrame:

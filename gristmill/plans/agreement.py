@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import stats
@@ -82,7 +82,10 @@ def agg_validated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", F.size("qa_pairs").cast("long").alias("total_pairs"), F.size(F.filter("qa_pairs", lambda p: p["is_valid"])).cast("long").alias("validated_pairs"))
 
 
-@query("agg_pool_hash", """SELECT o_orderpriority AS cell, sha256(string_agg('{"id":' || o_orderkey || '}', chr(10) ORDER BY '{"id":' || o_orderkey || '}')) AS pool_sha256 FROM orders WHERE o_orderkey % 10 = 0 GROUP BY o_orderpriority""")
+@query("agg_pool_hash", """SELECT o_orderpriority AS cell, sha256(string_agg('{"id":' || o_orderkey || '}', chr(10) ORDER BY '{"id":' || o_orderkey || '}')) AS pool_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('7:' || o_orderkey)) AS place FROM orders) WHERE place <= 200 GROUP BY o_orderpriority""")
 def agg_pool_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of each stratum's drawn pool, 200 of all orders by hash order."""
     entry = F.concat(F.lit('{"id":'), F.col("o_orderkey"), F.lit("}"))
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").groupBy(F.col("o_orderpriority").alias("cell")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\n").cast("binary"), 256).alias("pool_sha256"))
+    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.sha2(F.concat(F.lit("7:"), F.col("o_orderkey")).cast("binary"), 256)))
+    pool = table(spark, sf_dir, "orders").withColumn("place", place).filter("place <= 200")
+    return pool.groupBy(F.col("o_orderpriority").alias("cell")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "\n").cast("binary"), 256).alias("pool_sha256"))

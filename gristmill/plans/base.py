@@ -59,8 +59,8 @@ UNION ALL SELECT 'p' || p_partkey, p_name, 'event', p_partkey % 50 FROM part"""
 EDGES_SQL = """SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'has_concept' AS relation, 'Concept' AS type FROM nation
 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'has_concept', 'Concept' FROM customer
 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'has_concept', 'Concept' FROM supplier
-UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, CASE WHEN (l_suppkey + l_partkey) % 3 = 0 THEN 'is participated by' ELSE 'Supplies' END, 'Relation' FROM lineitem WHERE l_orderkey % 40 = 0
-UNION ALL SELECT DISTINCT 'c' || o_custkey, 'p' || l_partkey, 'orders', 'Relation' FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 40 = 0"""
+UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, CASE WHEN (l_suppkey + l_partkey) % 3 = 0 THEN 'is participated by' ELSE 'Supplies' END, 'Relation' FROM lineitem
+UNION ALL SELECT DISTINCT 'c' || o_custkey, 'p' || l_partkey, 'orders', 'Relation' FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +76,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """As EDGES_SQL, whose edges are those of one order in forty; whole: those of all orders."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As EDGES_SQL."""
     t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem") if whole else t("lineitem").filter("l_orderkey % 40 = 0")
-    bought = (t("orders") if whole else t("orders").filter("o_orderkey % 40 = 0")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    lines = t("lineitem")
+    bought = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     parts = [
         t("nation").selectExpr("concat('n', n_nationkey) AS src", "concat('r', n_regionkey) AS dst", "'has_concept' AS relation", "'Concept' AS type"),
         t("customer").selectExpr("concat('c', c_custkey)", "concat('n', c_nationkey)", "'has_concept'", "'Concept'"), t("supplier").selectExpr("concat('s', s_suppkey)", "concat('n', s_nationkey)", "'has_concept'", "'Concept'"),

@@ -92,9 +92,9 @@ def src_triple_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.triple_csv(spark, a, b)[0]
 
 
-@query("src_runs", "SELECT 'run' || o_orderkey AS run_id, (o_orderkey % 10)::INTEGER AS completed_items FROM orders WHERE o_orderkey % 200 = 0")
+@query("src_runs", "SELECT 'run' || o_orderkey AS run_id, (o_orderkey % 10)::INTEGER AS completed_items FROM orders")
 def src_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 200 = 0").selectExpr("concat('run', o_orderkey) AS run_id", "'qa' AS pipeline_type", "o_orderdate AS started_at", "CAST(o_orderkey % 10 AS INT) AS completed_items")
+    o = table(spark, sf_dir, "orders").selectExpr("concat('run', o_orderkey) AS run_id", "'qa' AS pipeline_type", "o_orderdate AS started_at", "CAST(o_orderkey % 10 AS INT) AS completed_items")
     rec.write_records(o, path := rec.work_folder(spark, "runs"))
     return spark.read.schema(rec.RUN).json(path).select("run_id", "completed_items")
 

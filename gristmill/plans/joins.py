@@ -76,9 +76,9 @@ def jn_alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.union(fresh).select("user_id", F.concat(F.lit("A"), F.col("r")).alias("alias"))
 
 
-@query("jn_emic_human", f"SELECT a.item_id, a.label AS judge, b.rater_id, b.label AS human FROM ({RATINGS_SQL}) a JOIN ({RATINGS_SQL}) b USING (item_id) WHERE a.rater_id = 'r1' AND b.rater_id <> 'r1' AND a.label IS NOT NULL AND b.label IS NOT NULL AND item_id % 10 = 0")
+@query("jn_emic_human", f"SELECT a.item_id, a.label AS judge, b.rater_id, b.label AS human FROM ({RATINGS_SQL}) a JOIN ({RATINGS_SQL}) b USING (item_id) WHERE a.rater_id = 'r1' AND b.rater_id <> 'r1' AND a.label IS NOT NULL AND b.label IS NOT NULL")
 def jn_emic_human(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ratings(spark, sf_dir).filter("label is not null and item_id % 10 = 0")
+    r = ratings(spark, sf_dir).filter("label is not null")
     judge = r.filter("rater_id = 'r1'").select("item_id", F.col("label").alias("judge"))
     return judge.join(r.filter("rater_id <> 'r1'").select("item_id", "rater_id", F.col("label").alias("human")), "item_id")
 
@@ -123,12 +123,12 @@ def jn_concept_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey").join(done, "p_partkey", "left_anti")
 
 
-@query("jn_absence", "WITH cand AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS word FROM benchmark), corpus AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS word FROM documents WHERE doc_id % 2 = 0) SELECT word FROM cand WHERE regexp_full_match(word, '[a-zà-ÿ]{3,}') AND word NOT IN (SELECT word FROM corpus) AND word NOT IN (SELECT lower(n_name) FROM nation)")
+@query("jn_absence", "WITH cand AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS word FROM benchmark), corpus AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS word FROM documents) SELECT word FROM cand WHERE regexp_full_match(word, '[a-zà-ÿ]{3,}') AND word NOT IN (SELECT word FROM corpus) AND word NOT IN (SELECT lower(n_name) FROM nation)")
 def jn_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacements that neither a node's label nor a whole word of the corpus equals: words on both sides, two anti joins."""
     word = F.lower(F.split_part("text", F.lit(" "), F.lit(2)))
     cand = table(spark, sf_dir, "benchmark").select(word.alias("word")).distinct().filter(F.rlike("word", F.lit("^[a-zà-ÿ]{3,}$")))
-    corpus = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.explode(tx.tokens(F.col("text"))).alias("word")).distinct()
+    corpus = table(spark, sf_dir, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word")).distinct()
     labels = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("word"))
     return cand.join(F.broadcast(labels), "word", "left_anti").join(corpus, "word", "left_anti")
 
@@ -152,10 +152,10 @@ def jn_substring_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.located(p, d, "doc_id")
 
 
-@query("jn_postings", "WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS token FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS token FROM documents WHERE doc_id % 10 = 0) SELECT item_id, doc_id, count(*) AS shared FROM q JOIN d USING (token) GROUP BY 1, 2")
+@query("jn_postings", "WITH q AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS token FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))) AS token FROM documents) SELECT item_id, doc_id, count(*) AS shared FROM q JOIN d USING (token) GROUP BY 1, 2")
 def jn_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
-    d = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
     return d.join(q, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 

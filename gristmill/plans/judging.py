@@ -83,7 +83,7 @@ def fn_segment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).join(op.repetition(docs(spark, sf_dir), "doc_id", "text"), "doc_id")
+    d = docs(spark, sf_dir).withColumn("repetition", tx.repetition(F.col("text")))
     none = F.lit(None).cast("array<struct<text:string,start:double,end:double>>")
     drift = F.when(F.col("doc_id") % 23 != 0, ((F.col("doc_id") * 7919) % 1000) / 1000.0)
     broken = F.when(F.col("doc_id") % 29 == 0, "scorer failed")

@@ -77,7 +77,7 @@ def fn_tokenize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.tokens(tx.nfkc(F.col("text"))).alias("tokens"))
 
 
-@query("fn_tokenize_khop", f"SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(f'$${w}$$' for w in tx.STOPWORDS)})).list_sort() AS tokens FROM conversations")
+@query("fn_tokenize_khop", f"SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(f'$${w}$$' for w in tx.STOPWORDS)})).list_sort() AS tokens FROM conversations")
 def fn_tokenize_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sort_array(tx.query_tokens(F.col("text"))).alias("tokens"))
 
@@ -88,15 +88,14 @@ def fn_spacy_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("tokens"))
 
 
-@query("fn_accent_fold", "SELECT doc_id, lower(strip_accents(substring(text, 1, 200))) AS folded FROM documents WHERE NOT regexp_matches(substring(text, 1, 200), '[ßØøÆæŒœ]') ")
+@query("fn_accent_fold", "SELECT doc_id, lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')) AS folded FROM documents")
 def fn_accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.substring("text", 1, 200)
-    return table(spark, sf_dir, "documents").filter(~F.rlike(start, F.lit("[ßØøÆæŒœ]"))).select("doc_id", tx.ascii_fold(start).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.ascii_fold(F.col("text")).alias("folded"))
 
 
-@query("fn_corpus_spans", "SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents WHERE doc_id % 10 = 0) WHERE regexp_full_match(word, '\\p{L}{4,}')")
+@query("fn_corpus_spans", "SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE regexp_full_match(word, '\\p{L}{4,}')")
 def fn_corpus_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.explode(tx.tokens(F.col("text"))).alias("word"))
+    words = table(spark, sf_dir, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("word"))
     return words.filter(F.rlike("word", F.lit(r"^\p{L}{4,}$"))).distinct()
 
 
@@ -125,10 +124,10 @@ def fn_safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", px.safe_name(F.col("url")).alias("one"), px.safe_name(F.col("url"), "__").alias("two"))
 
 
-@query("fn_relabel", f"SELECT src, dst, CASE WHEN src LIKE 's1%' AND relation = 'is participated by' THEN 'tem participação de' ELSE relation END AS relation FROM ({EDGES_SQL}) WHERE type = 'Relation'")
+@query("fn_relabel", f"SELECT src, dst, CASE WHEN src LIKE 's1%' AND relation = 'is participated by' THEN 'envolve' ELSE relation END AS relation FROM ({EDGES_SQL}) WHERE type = 'Relation'")
 def fn_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = F.when(F.startswith(F.col("src"), F.lit("s1")), "pt").otherwise("en")
-    return edges(spark, sf_dir).filter("type = 'Relation'").select("src", "dst", px.relabelled(F.col("relation"), language, {"is participated by": "tem participação de"}).alias("relation"))
+    return edges(spark, sf_dir).filter("type = 'Relation'").select("src", "dst", px.relabelled(F.col("relation"), language, px.PARTICIPATION).alias("relation"))
 
 
 @query("fn_segments_sanitize", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE event_id / 10 END AS start, greatest(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE event_id / 10 END, CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE event_id / 10 END ELSE event_id / 10 - 1 + event_id % 4 END) AS \"end\" FROM events")

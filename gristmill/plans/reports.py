@@ -155,9 +155,9 @@ def agg_violin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({n: F.round(n, 6) for n in ("q1", "q2", "q3", "mean")})
 
 
-@query("agg_parallel", f"SELECT level, CASE level WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS level_index, {', '.join(CRITERIA)} FROM (SELECT {', '.join(LINES)} FROM lineitem WHERE l_orderkey % 20 = 0) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in CRITERIA)}")
+@query("agg_parallel", f"SELECT level, CASE level WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS level_index, {', '.join(CRITERIA)} FROM (SELECT {', '.join(LINES)} FROM lineitem) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in CRITERIA)}")
 def agg_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").selectExpr(*LINES).dropna(subset=CRITERIA)
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*LINES).dropna(subset=CRITERIA)
     return rows.withColumn("level_index", (F.array_position(F.array(*map(F.lit, "ANR")), F.col("level")) - 1).cast("int"))
 
 
@@ -179,9 +179,9 @@ def agg_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs(spark, sf_dir).filter("started is not null").orderBy("started", "run").select("run", F.date_format("started", "yyyy-MM-dd").alias("day"), F.greatest(F.lit(8), F.least(F.lit(30), 2 * F.col("items"))).alias("marker"))
 
 
-@query("agg_consensus", "SELECT p_brand, CASE WHEN count(DISTINCT p_size % 2) = 1 THEN max(p_size % 2) END AS threshold FROM part WHERE p_partkey % 9 = 0 GROUP BY p_brand")
+@query("agg_consensus", "SELECT p_brand, CASE WHEN count(DISTINCT p_size % 2) = 1 THEN max(p_size % 2) END AS threshold FROM part GROUP BY p_brand")
 def agg_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").filter("p_partkey % 9 = 0").groupBy("p_brand").agg(op.consensus(F.col("p_size") % 2).alias("threshold"))
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(op.consensus(F.col("p_size") % 2).alias("threshold"))
 
 
 @query("agg_distinct_filters", "SELECT 'location' AS filter, list_sort(list(DISTINCT x)) AS found FROM (SELECT source AS x FROM documents UNION SELECT role FROM conversations) UNION ALL SELECT 'level', list_sort(list(DISTINCT lang)) FROM documents")

@@ -23,7 +23,7 @@ def test_ppr_walks_all_orders_from_fifty_seeds(spark):
     for a, b in pairs:
         near[a].add(b)
         near[b].add(a)
-    assert {(r["src"], r["dst"]) for r in base.edges(spark, SF, whole=True).collect()} == set(pairs)
+    assert {(r["src"], r["dst"]) for r in base.edges(spark, SF).collect()} == set(pairs)
     file_of = {f"{k}{n}": str(n % 50) for k, t, c in (("c", "customer", "c_custkey"), ("s", "supplier", "s_suppkey"), ("p", "part", "p_partkey")) for (n,) in rows(f"SELECT {c} FROM '@/{t}.parquet'")}
     weight = defaultdict(dict)
     for r in op.link_entities(plans.asked(spark, SF), base.nodes(spark, SF), 50).collect():
