@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import uuid
 import wave
 import zlib
 from collections.abc import Iterable, Iterator
@@ -18,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare, release, shared_dir
+from .common import fresh_path, prepare, release
 
 UNIT = 576
 RATE = 12_000
@@ -254,7 +253,7 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
                 yield pa.RecordBatch.from_arrays(part.columns[:-1] + [pa.array([r[i] for r in rows], types[i]) for i in range(4)], names=[*keep, "n_bytes", "media", "segments", "tensors"])
         release()
 
-    path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "media")
     out = kept.mapInArrow(run, schema)
     out.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(out.schema).parquet(path)

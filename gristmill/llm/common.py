@@ -1,18 +1,17 @@
-"""Helpers that the training-data operators share: where tables may be kept, and how workers find this package."""
+"""Helpers that the training-data operators share: how workers find this package, and which sides are broadcast."""
 
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.tables import drop_kept, fresh_path, kept, shared_dir
+
+__all__ = ["broadcast_if_small", "drop_kept", "free_name", "fresh_path", "kept", "prepare", "release", "shared_dir", "table", "text_or_empty"]
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -43,48 +42,12 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset, local mode alone has a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = Path(tempfile.mkdtemp(prefix="gristmill-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-@contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when it has ended, not when the driver happens to collect its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
-def kept(df: DataFrame, name: str, sort: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with shuffles_released(spark):
-        (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_path = path
-    return out
-
-
-def drop_kept(*tables: DataFrame) -> None:
-    """Remove tables that kept() has written, once nothing reads them any more."""
-    for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or one like it that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:

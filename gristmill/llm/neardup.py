@@ -7,7 +7,9 @@ pair shares at least one. So all pairs under that distance meet, and nearly all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, kept, prepare, release
+from .common import broadcast_if_small, free_name, kept, prepare, release
 
 WORDS = 5
-#: A link: 100 * intersection >= PERCENT * union.
-PERCENT = 85
-CHUNKS, SLOTS = 8, 6
-#: Signatures in fewer than this many different slots always share a key.
-DISTANCE = 2 * CHUNKS
-#: Slots of the longer signature and bits of the map that pairs are compared by before their sets are.
-LONG, BITS = 128, 1024
-#: Pairs further apart than this in the longer signature aren't confirmed: at the limit of similarity one in 10^9 is.
-FAR = 44
+#: Slots of a chunk; slots of the longer signature and bits of the map that pairs are compared by before their sets are.
+SLOTS, LONG, BITS = 6, 128, 1024
+#: Chances that a pair at exactly the limit of similarity shares no key, and that its longer signatures are too far apart.
+MISSED, TOO_FAR = 1e-5, 1e-9
 BLOCK = 1 << 20
 #: Bytes from which on a word is hashed by itself.
 LONG_WORD = 256
@@ -35,6 +32,40 @@ HOT_CLASSES = 1000
 #: Members of a bucket that are compared in one go; larger buckets are compared block by block, in different tasks.
 SIDE = 512
 
+@dataclass(frozen=True)
+class Limit:
+    """A link: 100 * intersection >= percent * union. What is needed for it follows."""
+
+    percent: int = 85
+
+    @property
+    def differ(self) -> float:
+        """Chance that a slot of eight bits differs between sets at the limit."""
+        return (1 - self.percent / 100) * 255 / 256
+
+    @property
+    def chunks(self) -> int:
+        """So many that the chance that all differ in two slots or more is small."""
+        p = self.differ
+        two = 1 - (1 - p) ** SLOTS - SLOTS * p * (1 - p) ** (SLOTS - 1)
+        return min(LONG // SLOTS, math.ceil(math.log(MISSED) / math.log(two)))
+
+    @property
+    def distance(self) -> int:
+        """Signatures in fewer than this many different slots always share a key."""
+        return 2 * self.chunks
+
+    @property
+    def far(self) -> int:
+        """Pairs further apart than this in the longer signature aren't confirmed."""
+        p, left = self.differ, 1.0
+        for d in range(LONG):
+            left -= math.comb(LONG, d) * p**d * (1 - p) ** (LONG - d)
+            if left < TOO_FAR:
+                return d
+        return LONG
+
+
 P = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -134,12 +165,12 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(out)
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """CHUNKS * SLOTS keys for each signature: a chunk without one of its slots, chunk by chunk and slot by slot."""
-    part = signatures[:, : CHUNKS * SLOTS].astype(np.uint64).reshape(-1, CHUNKS, SLOTS)
-    out = np.empty((len(signatures), CHUNKS, SLOTS), np.uint64)
+def chunk_keys(signatures: np.ndarray, chunks: int) -> np.ndarray:
+    """chunks * SLOTS keys for each signature: a chunk without one of its slots, chunk by chunk and slot by slot."""
+    part = signatures[:, : chunks * SLOTS].astype(np.uint64).reshape(-1, chunks, SLOTS)
+    out = np.empty((len(signatures), chunks, SLOTS), np.uint64)
     for left_out in range(SLOTS):
-        h = np.full(part.shape[:2], left_out + 1, np.uint64) + np.arange(CHUNKS, dtype=np.uint64) * np.uint64(64)
+        h = np.full(part.shape[:2], left_out + 1, np.uint64) + np.arange(chunks, dtype=np.uint64) * np.uint64(64)
         for slot in range(SLOTS):
             if slot != left_out:
                 h = mix(h * np.uint64(P) + part[:, :, slot])
@@ -187,14 +218,14 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n long, whole binary, sign binary, bits binary")
 
 
-def keys_of(rows: DataFrame) -> DataFrame:
+def keys_of(rows: DataFrame, chunks: int) -> DataFrame:
     """id, slot (number of the key, from 0) and bucket (the key) of rows(id, sign, ...), one for each key."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                keys = chunk_keys(wide(part.column(1))).view(np.int64)
+                keys = chunk_keys(wide(part.column(1)), chunks).view(np.int64)
                 n = keys.shape[1]
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), pa.array(keys.ravel())], names=["id", "slot", "bucket"])
@@ -210,19 +241,19 @@ def wide(column: pa.Array) -> np.ndarray:
 ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def close(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+def close(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, limit: Limit) -> np.ndarray:
     """Which of some pairs may be links, by their sizes n and m, long signatures a and b, bitmaps p and q.
 
     Sizes and bitmaps exclude no link: sets that overlap enough differ in few elements, and so in few bits.
     """
-    apart = (n + m) * (100 - PERCENT) / (100 + PERCENT)  # the most elements by which linked sets differ
+    apart = (n + m) * (100 - limit.percent) / (100 + limit.percent)  # the most elements by which linked sets differ
     ok = np.abs(n - m) <= apart
     ok[ok] = ONES[p[ok] ^ q[ok]].sum(axis=1) <= apart[ok]
-    ok[ok] = (a[ok] != b[ok]).sum(axis=1) <= FAR
+    ok[ok] = (a[ok] != b[ok]).sum(axis=1) <= limit.far
     return ok
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame, limit: Limit) -> DataFrame:
     """Of pairs(a, b) of ids those whose full sets are alike enough. Sets are computed for documents in pairs only."""
     pairs = kept(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -231,7 +262,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
     sets = kept(sets.drop("whole"), "sets")
     left, right = sets.select(F.col("id").alias("a"), "n", F.col("shingles").alias("s")), sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
-    return kept(pairs.join(left, "a").join(right, "b").filter(both * 100 >= PERCENT * (F.col("n") + F.col("m") - both)).select("a", "b"), "links")
+    return kept(pairs.join(left, "a").join(right, "b").filter(both * 100 >= limit.percent * (F.col("n") + F.col("m") - both)).select("a", "b"), "links")
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -257,7 +288,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
+def cross_pairs(members: DataFrame, limit: Limit) -> DataFrame:
     """Pairs (a, b) that may be links and lie in different components, of members(bucket, x, y, side, id, component, ...).
 
     Rows come sorted by (bucket, x, y), a group at a time; side 0 is compared with side 1, and with itself where x = y.
@@ -271,15 +302,15 @@ def cross_pairs(members: DataFrame) -> DataFrame:
             ids = [t.column(c).to_numpy() for c in ("bucket", "x", "y")]
             change = np.flatnonzero((ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | (ids[2][1:] != ids[2][:-1])) + 1
             for lo, hi in zip([0, *change[:-1]], change, strict=False):
-                yield from compare(t.slice(lo, hi - lo))
+                yield from compare(t.slice(lo, hi - lo), limit)
             rest = t.slice(int(change[-1])) if len(change) else t
         if rest is not None and rest.num_rows:
-            yield from compare(rest)
+            yield from compare(rest, limit)
 
     return members.mapInArrow(run, "a long, b long")
 
 
-def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def compare(t: pa.Table, limit: Limit) -> Iterator[pa.RecordBatch]:
     side, ids, comp, n = (t.column(c).to_numpy() for c in ("side", "id", "component", "n"))
     sign, bits = wide(t.column("sign")), wide(t.column("bits"))
     own, slot = t.column("x")[0].as_py() == t.column("y")[0].as_py(), t.column("slot")[0].as_py()
@@ -289,24 +320,24 @@ def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         j = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (not own))]
         if len(j):
             k = np.full(len(j), i)
-            j = j[close(n[k], n[j], sign[k], sign[j], bits[k], bits[j])]
+            j = j[close(n[k], n[j], sign[k], sign[j], bits[k], bits[j], limit)]
         if len(j):
-            j = j[first_shared(sign[i], sign[j]) == slot]
+            j = j[first_shared(sign[i], sign[j], limit.chunks) == slot]
         if len(j):
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j]))})
 
 
-def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def first_shared(a: np.ndarray, b: np.ndarray, chunks: int) -> np.ndarray:
     """The number of the first key that signature a shares with each of b, which share one: there the pair is given."""
-    differ = (a[: CHUNKS * SLOTS] != b[:, : CHUNKS * SLOTS]).reshape(-1, CHUNKS, SLOTS)
+    differ = (a[: chunks * SLOTS] != b[:, : chunks * SLOTS]).reshape(-1, chunks, SLOTS)
     chunk = (differ.sum(axis=2) <= 1).argmax(axis=1)
     return chunk * SLOTS + differ[np.arange(len(b)), chunk].argmax(axis=1)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key reachable by links) and kept (key = component_id).
 
-    Texts of equal sets are one class, held by its smallest key; classes are joined by chunk keys. First every bucket's
+    A link is a similarity of `percent` or more. Texts of equal sets are one class, held by its smallest key; classes are joined by chunk keys. First every bucket's
     members are held against its smallest (a star, so a group of near copies gives as many pairs as it has members);
     then, in buckets that still hold several components, the members of different ones are compared by size, bitmap
     and longer signature, in blocks of bounded size, and what may be a link is confirmed on full sets too. A text
@@ -314,6 +345,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are one document to the links; a null key links with nothing and is its own component (null, kept).
     """
     spark: SparkSession = docs.sparkSession
+    limit = Limit(percent)
     prepare(spark)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     rows = kept(sketches(docs), "sketches")
@@ -321,13 +353,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = kept(full.groupBy("n", "whole").agg(F.min("id").alias("class"), F.count("*").alias("copies")), "sets-of-copies")
     one = classes.groupBy("class").agg(F.min("whole").alias("whole"))  # a key repeated with several texts stands for one
     heads = kept(full.join(one.withColumnRenamed("class", "id"), ["id", "whole"], "left_semi").dropDuplicates(["id"]), "classes")
-    keys = keys_of(heads)
+    keys = keys_of(heads, limit.chunks)
     buckets = keys.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("size")).filter("size > 1")
     shared = kept(keys.join(buckets, "bucket").select("bucket", "slot", "id", "least", "size"), "buckets")
     slim = heads.select("id", "n", "sign", "bits")
     stars = shared.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(sieved(stars, slim), docs, heads)
-    links = links.union(confirmed(residual(shared, components(links), slim, spark), docs, heads))
+    links = confirmed(sieved(stars, slim, limit), docs, heads, limit)
+    links = links.union(confirmed(residual(shared, components(links), slim, spark, limit), docs, heads, limit))
     found = components(links)
     comps = found.withColumnsRenamed({"id": "class", "component": "__component"})
     of_class = classes.join(comps, "class", "left").select("n", "whole", "copies", F.coalesce("__component", "class").alias("__component"))
@@ -350,7 +382,7 @@ def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return tagged.filter("__hot is not null").withColumnRenamed("__hot", "__component").unionByName(other)
 
 
-def sieved(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+def sieved(pairs: DataFrame, slim: DataFrame, limit: Limit) -> DataFrame:
     """pairs(a, b) without those that can't be links."""
     left = slim.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("sign").alias("s"), F.col("bits").alias("p"))
     right = slim.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sign").alias("t"), F.col("bits").alias("q"))
@@ -359,13 +391,13 @@ def sieved(pairs: DataFrame, slim: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 c = {f: b.column(f) for f in b.schema.names}
-                ok = close(c["n"].to_numpy().astype(float), c["m"].to_numpy().astype(float), *(wide(c[f]) for f in "stpq"))
+                ok = close(c["n"].to_numpy().astype(float), c["m"].to_numpy().astype(float), *(wide(c[f]) for f in "stpq"), limit)
                 yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(ok)), c["b"].filter(pa.array(ok))], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "s", "t", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def residual(shared: DataFrame, found: DataFrame, slim: DataFrame, spark: SparkSession) -> DataFrame:
+def residual(shared: DataFrame, found: DataFrame, slim: DataFrame, spark: SparkSession, limit: Limit) -> DataFrame:
     """Pairs that may be links in buckets that hold several components (buckets of two have been confirmed)."""
     of = shared.filter("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
@@ -375,13 +407,14 @@ def residual(shared: DataFrame, found: DataFrame, slim: DataFrame, spark: SparkS
     spread = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = spread.select("bucket", "slot", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "sign", "bits")
     rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return cross_pairs(rows)
+    return cross_pairs(rows, limit)
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """docs with one document of each group: that of the smallest key, and of its repeated rows one."""
-    found = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("__key")).distinct()
-    once = docs.join(broadcast_if_small(found, found.count(), 2_000_000), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    if once.groupBy(key).count().filter(F.col(key).isNotNull() & (F.col("count") > 1)).isEmpty():
+    name = free_name(docs, "__key")
+    found = kept(near_duplicates(docs, key, text, percent).filter("kept").select(F.col(key).alias(name)).distinct(), "first-ones")
+    once = docs.join(broadcast_if_small(found, found.count(), 2_000_000), F.col(key).eqNullSafe(F.col(name)), "left_semi")
+    if once.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).filter("k is not null and n > 1").isEmpty():
         return once
     return once.filter(F.col(key).isNotNull()).dropDuplicates([key]).union(once.filter(F.col(key).isNull()))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, kept, prepare, release
+from .common import broadcast_if_small, free_name, kept, prepare, release
 
 #: The classifier is fitted on at most so many labelled documents, those of the least hashes.
 FIT_ROWS = 20_000
@@ -128,8 +128,8 @@ def strength(groups: DataFrame, most: float = 1000.0) -> float:
     return min(most, within / between) if between > 0 else most
 
 
-def posteriors(scored: DataFrame) -> tuple[float, DataFrame]:
-    """The overall mean, and per (host, path): docs, host_prior and prior, the posteriors of the site and of its part.
+def posteriors(scored: DataFrame) -> tuple[float, float, float, DataFrame]:
+    """The overall mean, how many documents the opinions of all and of a site count as, and per (host, path): numbers of documents and sums of their probabilities, of the site (hn, hs) and of its part (n, s).
 
     Sums by part and then by site are all that is shuffled, combined before it.
     """
@@ -138,18 +138,17 @@ def posteriors(scored: DataFrame) -> tuple[float, DataFrame]:
     total = parts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     overall = min(max((total["s"] or 0.0) / total["n"] if total["n"] else 0.5, 1e-6), 1 - 1e-6)
     hosts = parts.groupBy("host").agg(*(F.sum(c).alias(c) for c in "nsq")).withColumn("parent", F.lit(overall))
-    k = strength(hosts)
-    hosts = hosts.select(F.col("host").alias("__host"), ((F.col("s") + k * F.col("parent")) / (F.col("n") + k)).alias("parent"))
+    of_all = strength(hosts)
+    hosts = hosts.select(F.col("host").alias("__host"), F.col("n").alias("hn"), F.col("s").alias("hs"), ((F.col("s") + of_all * F.col("parent")) / (F.col("n") + of_all)).alias("parent"))
     parts = parts.join(hosts, F.col("host").eqNullSafe(F.col("__host"))).drop("__host")
-    k = strength(parts)
-    clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return overall, parts.select("host", "path", F.col("n").alias("docs"), clip(F.col("parent")).alias("host_prior"), clip((F.col("s") + k * F.col("parent")) / (F.col("n") + k)).alias("prior"))
+    return overall, of_all, strength(parts), parts.select("host", "path", "n", "s", "hn", "hs")
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, least: float = 0.5, model: Model | None = None) -> DataFrame:
     """Per row of docs: doc_id, row, host, path, evidence (of the text alone), host_prior, prior, quality and keep.
 
-    quality is the probability after both levels; keep is quality >= least. A null text counts as empty and has the
+    host_prior and prior are what the other documents of its site, and of its part of the site, say of a document: its
+    own evidence is left out of them. quality is the probability after both levels; keep is quality >= least. A null text counts as empty and has the
     evidence of one; null hosts and paths are groups of their own; repeated rows are judged alike, and count in their
     site. Without labels all documents are as good as each other (0.5, kept). The documents' text is read once, what
     is gathered per row is a few numbers, and priors reach the rows by a join that hot sites don't gather in.
@@ -158,10 +157,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     host, path = host if host is not None else F.col("source"), path if path is not None else F.col("lang")
     model = model or fit(docs, labels)
     scored = kept(evidence(docs, model, host.cast("string"), path.cast("string")), "quality")
-    overall, priors = posteriors(scored)
+    overall, of_all, of_site, priors = posteriors(scored)
     priors = kept(priors, "site-priors")
     priors = broadcast_if_small(priors, priors.count(), 100_000).withColumnsRenamed({"host": "__host", "path": "__path"})
     joined = scored.join(priors, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path"))).drop("__host", "__path")
+    own = sigmoid(F.col("logit"))
+    clip = lambda c: F.least(F.greatest(c, F.lit(1e-6)), F.lit(1 - 1e-6))
+    joined = joined.withColumn("host_prior", clip((F.col("hs") - own + of_all * overall) / (F.col("hn") - 1 + of_all)))
+    joined = joined.withColumn("prior", clip((F.col("s") - own + of_site * F.col("host_prior")) / (F.col("n") - 1 + of_site)))
     quality = sigmoid(F.col("logit") + logit(F.col("prior")) - math.log(overall / (1 - overall)))
     return joined.select("doc_id", "row", "host", "path", sigmoid(F.col("logit")).alias("evidence"), "host_prior", "prior", quality.alias("quality"), (quality >= least).alias("keep"))
 
@@ -169,6 +172,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, least: float = 0.5) -> DataFrame:
     """docs without the rows that classify() rejects; all columns stay as they are."""
     host, path = host if host is not None else F.col("source"), path if path is not None else F.col("lang")
-    bad = classify(docs, labels, host, path, least).filter("not keep").select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col("text"), host.cast("string"), path.cast("string")) == F.col("__row"))
+    doc, row = free_name(docs, "__doc"), free_name(docs, "__row")
+    bad = kept(classify(docs, labels, host, path, least).filter("not keep").select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text"), host.cast("string"), path.cast("string")) == F.col(row))
     return docs.join(broadcast_if_small(bad, bad.count()), same, "left_anti")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -18,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir
+from .common import broadcast_if_small, kept, prepare, shared_dir
 
 #: Records of equal payloads of at least so many bytes are written once and revisited.
 LEAST_REVISIT = 1000
@@ -31,15 +32,27 @@ def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """Per page: page_id, url, html (null: empty), payload_digest (SHA-1, hex) and refers_to.
 
     Of rows with equal payloads of at least `least` bytes the one with the largest page_id is the response (refers_to
-    null), the others revisit it; of rows that repeat a page_id and payload one is the response, and the rest revisit
-    it. Groups are counted by digest before any row moves; only ids and digests of groups of two or more are joined.
+    null), the others revisit it; rows that repeat its page_id and payload are responses too. Groups are counted by
+    digest, without their payloads, and rows are joined to the ids of groups of two or more.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
-    large = rows.filter(F.octet_length("html") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n")).filter("__n > 1")
-    joined = rows.join(large, "payload_digest", "left")
+    large = rows.filter(F.octet_length("html") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    large = kept(large, "repeated-payloads")
+    joined = rows.join(broadcast_if_small(large, large.count(), 200_000), "payload_digest", "left")
     return joined.select("page_id", "url", "html", "payload_digest", F.when(F.col("page_id") != F.col("__last"), F.col("__last")).alias("refers_to"))
 
 
+#: What can't stand in a header as it is: line ends, and white space at an end.
+LINE_END = re.compile(r"[\r\n]|^\s|\s$")
+
+
+def url_of(headers: dict[str, str]) -> str | None:
+    url = headers.get("warc-target-uri")
+    if url is not None and headers.get("x-uri-escaped") == "1":
+        url = re.sub("%(25|0D|0A|20|09)", lambda m: chr(int(m[1], 16)), url)
+    return url
+
+
 def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -50,7 +63,7 @@ def member(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     block = http + payload if refers_to is None else http
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z",
-        f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+        *([] if url is None else [f"WARC-Target-URI: {url.replace('%', '%25').replace(chr(13), '%0D').replace(chr(10), '%0A').replace(' ', '%20').replace(chr(9), '%09') if LINE_END.search(url) else url}", f"X-URI-Escaped: {int(bool(LINE_END.search(url)))}"]), f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         "Content-Type: application/http; msgtype=response", f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
@@ -90,27 +103,49 @@ class Record:
     offset: int
 
 
-def inflate(read, at: int, size: int, head_only: bool = False) -> tuple[bytes, int]:
-    """What the gzip member at `at` holds, and where it ends. Raises zlib.error if there is none."""
-    out, piece, unpack = [], 1 << (12 if head_only else 16), zlib.decompressobj(31)
-    while at < size and not unpack.eof:
-        data = read(at, min(piece, size - at))
-        out.append(unpack.decompress(data))
-        at += len(data) - len(unpack.unused_data)
-        if head_only and sum(map(len, out)) >= 6:
-            break
-        piece = 1 << 16
-    if not head_only and not unpack.eof:
-        raise zlib.error("cut off")
-    return b"".join(out), at
+class Broken(ValueError):
+    """There is no whole record at a place."""
 
 
-def records_in(read, size: int, start: int, end: int) -> Iterator[Record]:
-    """Records whose members start in [start, end) of an archive of `size` bytes; the last may reach beyond.
+def record_at(read, at: int, size: int) -> tuple[Record, int]:
+    """The record of the gzip member at `at`, and where the member ends.
 
-    A candidate is the gzip magic; it counts if what it unpacks to begins as a WARC record does and unpacks to its
-    end, for the magic also occurs by chance within compressed data.
+    The member must unpack to its end, hold a WARC header with type and length, and as much content as that says.
+    """
+    start, piece, unpack, out = at, 1 << 12, zlib.decompressobj(31), []
+    try:
+        while at < size and not unpack.eof:
+            data = read(at, min(piece, size - at))
+            out.append(unpack.decompress(data))
+            at += len(data) - len(unpack.unused_data)
+            if sum(map(len, out[:8])) >= 6 and not b"".join(out[:8]).startswith(b"WARC/1."):
+                raise Broken(f"another kind of member at {start}")
+            piece = 1 << 16
+    except zlib.error as e:
+        raise Broken(f"a damaged member at {start}: {e}") from e
+    if not unpack.eof:
+        raise Broken(f"a member that is cut off at {start}")
+    head, found, rest = b"".join(out).partition(b"\r\n\r\n")
+    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    length = headers.get("content-length", "")
+    if not head.startswith(b"WARC/1.") or not found or "warc-type" not in headers or not length.isdigit() or rest[int(length) :] != b"\r\n\r\n" or len(rest) < int(length):
+        raise Broken(f"a member without a whole record at {start}")
+    return Record(headers, rest[: int(length)], start), at
+
+
+#: Members within another's payload end within the block of that one's compression they lie in, which is at most 64 KB.
+PROBE = 1 << 17
+
+
+def first_record(read, size: int, start: int, end: int) -> int | None:
+    """Where the first record that starts in [start, end) of an archive does.
+
+    A candidate is the gzip magic, which also occurs by chance in compressed data, and, in front of whole records, in
+    payloads that hold archives. So it counts if a record is there and records follow it for PROBE bytes, or to the
+    end. If that is in doubt, the archive is walked from its start.
     """
+    if start == 0:
+        return 0 if size else None
     at = start
     while at < end:
         data = read(at, min((1 << 20) + 2, end + 2 - at, size - at))
@@ -119,18 +154,34 @@ def records_in(read, size: int, start: int, end: int) -> Iterator[Record]:
             at += max(len(data) - 2, 1)
             continue
         at += found
-        while at < end:
-            try:
-                if not inflate(read, at, size, True)[0].startswith(b"WARC/1."):
-                    raise zlib.error("another kind of member")
-                data, after = inflate(read, at, size)
-            except zlib.error:
-                at += 1
-                break
-            head, _, rest = data.partition(b"\r\n\r\n")
-            headers = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
-            yield Record(headers, rest[: int(headers["content-length"])], at)
-            at = after
+        try:
+            _, after = record_at(read, at, size)
+        except Broken:
+            at += 1
+            continue
+        try:
+            while after < min(size, at + PROBE):
+                _, after = record_at(read, after, size)
+            return at
+        except Broken:
+            walk = 0
+            while walk < start:  # raises where the archive itself is damaged
+                _, walk = record_at(read, walk, size)
+            return walk if walk < end else None
+    return None
+
+
+def records_in(read, size: int, start: int, end: int) -> Iterator[Record]:
+    """Records whose members start in [start, end) of an archive of `size` bytes; the last may reach beyond.
+
+    Raises Broken where a member is damaged, cut off or no record: nothing is left out in silence.
+    """
+    at = first_record(read, size, start, end)
+    while at is not None and at < end:
+        record, at = record_at(read, at, size)
+        yield record
+    if at is not None and end <= at < size:  # the next range can't tell a damaged record from none
+        record_at(read, at, size)
 
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
@@ -171,7 +222,7 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
                             if own != digest:
                                 raise ValueError(f"{path} at {r.offset}: the payload's digest is {own}, not {digest}")
                         number = lambda k, h=r.headers: int(h[k]) if h.get(k) else None
-                        rows.append((number("x-page-id"), r.headers["warc-target-uri"], length, digest, kind, number("x-refers-to-page"), *([payload if kind == "response" else None] if with_payload else [])))
+                        rows.append((number("x-page-id"), url_of(r.headers), length, digest, kind, number("x-refers-to-page"), *([payload if kind == "response" else None] if with_payload else [])))
                         if len(rows) == 1000:
                             yield batch_of(rows, with_payload)
                             rows = []

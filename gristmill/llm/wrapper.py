@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -114,6 +115,7 @@ class Slot:
     chars: int = 0
     pages: int = 1
     below: list[Slot] = field(default_factory=list)
+    loose: int = 0  # characters of slots below that too few of its pages had
 
     def shape(self) -> str:
         return f"{self.label}({','.join(x.shape() for x in self.below)})" if self.below else self.label
@@ -169,9 +171,25 @@ def numbered(slot: Slot, out: list[Slot]) -> list[Slot]:
 
 
 def match(a: Slot, b: Slot) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the largest number of nodes, roots included, that agree in order, and which children pair up."""
+    """Simple tree matching: the largest number of nodes, roots included, that agree in order, and which children pair up.
+
+    Equal subtrees at both ends of the children pair up at once, so the table is only as large as what lies between.
+    """
     if a.label != b.label:
         return 0, []
+    same = lambda x, y: x is y or x.label == y.label and len(x.below) == len(y.below) and all(map(same, x.below, y.below))
+    size = lambda x: 1 + sum(map(size, x.below))
+    first, least = 0, min(len(a.below), len(b.below))
+    while first < least and same(a.below[first], b.below[first]):
+        first += 1
+    last = 0
+    while last < least - first and same(a.below[-1 - last], b.below[-1 - last]):
+        last += 1
+    if first + last:
+        total = sum(map(size, a.below[:first])) + sum(map(size, a.below[len(a.below) - last :]))
+        count, inner = match(Slot(a.label, a.skip, below=a.below[first : len(a.below) - last]), Slot(b.label, b.skip, below=b.below[first : len(b.below) - last]))
+        ends = [(len(a.below) - last + k, len(b.below) - last + k) for k in range(last)]
+        return count + total, [(k, k) for k in range(first)] + [(i + first, j + first) for i, j in inner] + ends
     n, m = len(a.below), len(b.below)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     took = [[0] * (m + 1) for _ in range(n + 1)]
@@ -226,7 +244,7 @@ class Aligner:
         for i, j in found:
             x, y = na[i], nb[j]
             x.text = x.text if x.text == y.text else None
-            x.chars, x.pages, x.skip = x.chars + y.chars, x.pages + y.pages, x.skip or y.skip
+            x.chars, x.pages, x.skip, x.loose = x.chars + y.chars, x.pages + y.pages, x.skip or y.skip, x.loose + y.loose
         if not same_shape:
             number = {id(s): j for j, s in enumerate(nb)}
             for i, j in found:
@@ -242,39 +260,38 @@ class Aligner:
 
 
 def pack(slot: Slot) -> list:
-    return [slot.label, int(slot.skip), slot.text, slot.chars, slot.pages, [pack(x) for x in slot.below]]
+    return [slot.label, int(slot.skip), slot.text, slot.chars, slot.pages, [pack(x) for x in slot.below], slot.loose]
 
 
 def unpack(x: list) -> Slot:
-    return Slot(x[0], bool(x[1]), x[2], x[3], x[4], [unpack(y) for y in x[5]])
+    return Slot(x[0], bool(x[1]), x[2], x[3], x[4], [unpack(y) for y in x[5]], x[6])
 
 
-#: A larger template is cut back to nodes that at least two pages share, so that one host of odd pages stays small.
-MOST_NODES = 3000
+#: Templates are broadcast up to so many bytes in all.
+BROADCAST_BYTES = 32 << 20
+#: Of the slots below one, those stay that one in so many of its pages has: a template is at most so many times as large as a page.
+RARE = 16
 
 
-def bounded(slot: Slot) -> Slot:
-    if len(numbered(slot, [])) > MOST_NODES:
-        least = 2
-        while len(numbered(slot, [])) > MOST_NODES:
-            cut(slot, least)
-            least *= 2
-    return slot
-
-
-def cut(slot: Slot, least: int) -> None:
-    slot.below = [x for x in slot.below if x.pages >= least]
+def pruned(slot: Slot) -> Slot:
+    """Without slots that few pages have, which can't be template; their text counts as varying text of what they are in."""
+    stay = []
     for x in slot.below:
-        cut(x, least)
+        if x.pages * RARE < slot.pages:
+            slot.loose += written(x)
+        else:
+            stay.append(pruned(x))
+    slot.below = stay
+    return slot
 
 
 def varying(slot: Slot) -> int:
     """Characters of text that differs between pages, in all unmarked slots below."""
-    return 0 if slot.skip else (slot.chars if slot.text is None else 0) + sum(map(varying, slot.below))
+    return 0 if slot.skip else slot.loose + (slot.chars if slot.text is None else 0) + sum(map(varying, slot.below))
 
 
 def written(slot: Slot) -> int:
-    return 0 if slot.skip else slot.chars + sum(map(written, slot.below))
+    return 0 if slot.skip else slot.loose + slot.chars + sum(map(written, slot.below))
 
 
 def verdict(root: Slot) -> tuple[Slot, set[int]]:
@@ -380,7 +397,7 @@ def fold(rows: Iterable[tuple[str, str]], aligner: Aligner) -> dict[str, Slot]:
     for host, page in rows:
         if page:
             own = slots(parse(page))
-            out[host] = bounded(aligner.merge(out[host], own)) if host in out else own
+            out[host] = pruned(aligner.merge(out[host], own)) if host in out else own
     return out
 
 
@@ -408,10 +425,12 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html", salts: int =
         aligner, out = Aligner(), None
         for t in sorted(group.column("template").to_pylist()):
             t = unpack(json.loads(t))
-            out = t if out is None else bounded(aligner.merge(out, t))
+            out = t if out is None else pruned(aligner.merge(out, t))
         return pa.table({"host": pa.array([group.column("host")[0].as_py()], pa.string()), "template": pa.array([json.dumps(pack(out))], pa.string())})
 
-    first = rows.mapInArrow(partial, "host string, template string")
+    first = kept(rows.mapInArrow(partial, "host string, template string"), "part-templates")
+    most = first.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    salts = max(salts, math.isqrt(most) + 1)  # a task folds no more than about the root of a host's part templates
     salted = first.withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(salts))).groupBy("host", "salt").applyInArrow(merged, "host string, template string")
     return salted.groupBy("host").applyInArrow(merged, "host string, template string")
 
@@ -419,13 +438,13 @@ def induce(pages: DataFrame, url: str = "url", html: str = "html", salts: int =
 def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns `keep`, text (the main text; '' for null, empty or textless pages) and n_chars of every page.
 
-    A host's pages are read three times or four: to find copies, to induce its template, to extract. Templates are small (a bounded number
-    of nodes) and joined by host; a page without a host has the host ''. Repeated rows are extracted again but
+    A host's pages are read three times or four: to find copies, to induce its template, to extract. Templates are no larger than some
+    pages and joined by host; a page without a host has the host ''. Repeated rows are extracted again but
     count once as pages of their host; a host of one page, or of copies of one, has no varying slots and is judged by its marks.
     """
     templates = kept(induce(pages, url, html), "templates")
-    n = templates.count()
-    templates = broadcast_if_small(templates, n, 20_000).withColumnsRenamed({"host": "__host", "template": "__template"})
+    size = templates.agg(F.sum(F.octet_length("template"))).first()[0] or 0
+    templates = (F.broadcast(templates) if size <= BROADCAST_BYTES else templates).withColumnsRenamed({"host": "__host", "template": "__template"})
     rows = pages.select(*keep, F.col(html).alias("__html"), host_of(F.col(url)).alias("__h"))
     rows = rows.join(templates, F.col("__h") == F.col("__host"), "left").drop("__host", "__h")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]) + ", text string, n_chars long"

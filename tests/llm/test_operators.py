@@ -100,6 +100,42 @@ def test_warc_ranges_own_each_record_once(step):
     assert got == [str(i) for i in range(12)]
 
 
+def archive(payloads):
+    members = [warc.member(i, f"u{i}", p, hashlib.sha1(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    data = b"".join(members)
+    return members, data, lambda at, n: data[at : at + n]
+
+
+@pytest.mark.parametrize("step", [500, 5000, 40000])
+def test_archives_within_payloads_are_no_records(step):
+    rng = random.Random(17)
+    noise = lambda n: rng.randbytes(n)
+    inner = b"".join(warc.member(70 + i, "in", noise(4000), "00" * 20, None) for i in range(5))
+    payloads = [noise(3000), noise(30000) + inner + noise(9000), inner, noise(70000) + inner, b"end"]
+    members, data, read = archive(payloads)
+    assert data.count(warc.MAGIC) > 2 * len(payloads)  # noise is stored as it is
+    got = [r.headers["x-page-id"] for s in range(0, len(data), step) for r in warc.records_in(read, len(data), s, min(len(data), s + step))]
+    assert got == [str(i) for i in range(len(payloads))]
+
+
+@pytest.mark.parametrize("step", [700, 10**6])
+def test_damaged_archives_raise(step):
+    rng = random.Random(18)
+    members, data, _ = archive([bytes(rng.choices(b"abcdefgh", k=2000)) for _ in range(12)])
+    at = sum(map(len, members[:5])) + len(members[5]) // 2
+    for broken in (data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :], data[:-40], data[: len(members[0])] + b"junk" + data[len(members[0]) :]):
+        read = lambda a, n, d=broken: d[a : a + n]
+        with pytest.raises(warc.Broken):
+            [r for s in range(0, len(broken), step) for r in warc.records_in(read, len(broken), s, min(len(broken), s + step))]
+
+
+def test_urls_come_back_as_they_were(spark):
+    urls = [None, "", "http://a/%41?x=1", "http://a/\r\nX: y%0A", " lead and trail\t", "http://é/ü"]
+    rows = [(i, u, "x") for i, u in enumerate(urls)]
+    got = {r["page_id"]: r["url"] for r in warc.through_archives(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(urls))] == urls
+
+
 # 2: audio
 
 
@@ -194,6 +230,21 @@ def test_a_block_that_few_pages_share_is_the_articles(spark):
         assert [x in text[i] for x in ("The same quotation", "Same cell", "same code")] == [x in html for x in ("The same quotation", "Same cell", "same code")]
 
 
+def test_many_differing_sections_keep_the_template(spark):
+    section = lambda i, j: f"<div class='s{'abcdefghij'[j % 10]}x{'klmnopqrst'[j // 10 % 10]}'><h4>{i} {j}</h4><p>text {i * 7919 + j}</p></div>"
+    rows = [(i, "http://big.org/x", f"<body><div><span>Home | About us | Imprint</span></div><div>{''.join(section(i, j) for j in range(1500))}</div><div><p>Printed in Rome</p></div></body>") for i in range(4)]
+    for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert "Imprint" not in r["text"] and "Rome" not in r["text"] and r["text"].count("text ") == 1500
+
+
+def test_slots_of_few_pages_are_pruned_but_counted():
+    pages = [f"<body><div><p>{'word ' * 20}{i}</p><div class='{chr(97 + i % 26)}{chr(97 + i // 26)}z'><p>own {i}</p></div></div><div>Same</div></body>" for i in range(200)]
+    template = wrapper.fold([("h", p) for p in pages], wrapper.Aligner())["h"]
+    nodes = wrapper.numbered(template, [])
+    assert template.pages == 200 and len(nodes) < 20 * wrapper.RARE and sum(x.loose for x in nodes) > 0
+    assert wrapper.unpack(wrapper.pack(template)) == template
+
+
 def test_templates_merge_in_any_split():
     pages = [page(i, f"<p>Text {i}</p>") for i in range(8)]
     whole = wrapper.fold([("h", p) for p in pages], wrapper.Aligner())["h"]
@@ -204,7 +255,7 @@ def test_templates_merge_in_any_split():
 # 5: near duplicates
 
 
-def brute_links(texts):
+def brute_links(texts, percent=85):
     def shingles(t):
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -221,7 +272,7 @@ def brute_links(texts):
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -260,6 +311,37 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {(r["doc_id"], r["component_id"]) for r in null} == {(None, None), (1, 1)}
 
 
+def test_lower_limits_link_more(spark):
+    rng, texts = random.Random(16), []
+    for _ in range(60):  # pairs between 0.75 and 0.9
+        base = words(rng, 120, 5000).split()
+        other = list(base)
+        for k in range(rng.randrange(2, 6)):
+            other[k * 20 + 7] = f"e{rng.random()}"
+        texts += [" ".join(base), " ".join(other)]
+    texts = list(enumerate(texts))
+    assert brute_links(texts, 80) != brute_links(texts)
+    for percent in (80, 85):
+        got = neardup.near_duplicates(docs(spark, texts), percent=percent).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(texts, percent)
+    assert (neardup.Limit(85).chunks, neardup.Limit(80).chunks, neardup.Limit(85).far) == (8, 11, 47)
+
+
+def test_own_names_may_be_taken(spark):
+    """Columns of every name that the operators give within."""
+    names = ["__key", "__KEY_", "__doc", "__row", "__rate", "__replica", "__cdf", "__u", "__first", "__source", "__text", "__hot", "__component", "__n", "class", "copies", "whole"]
+    texts = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n"), (None, "o p")]
+    df = docs(spark, texts).withColumns({c: F.lit("own") for c in names})
+    once = neardup.keep_first(df)
+    assert once.columns == df.columns and sorted((r["doc_id"] or 0, r["__key"]) for r in once.collect()) == [(0, "own"), (1, "own"), (3, "own")]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    good = quality.keep_good(df, labels)
+    assert good.columns == df.columns and good.count() == 4 and good.select("__row").distinct().count() == 1
+    mixed = mixing.mix(df, flatten=1.0)
+    again = neardup.keep_first(mixed)
+    assert again.columns == mixed.columns and set(r["doc_id"] for r in again.collect()) <= {1, 3, None}
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SIDE", 3)
     texts = list(enumerate(copies(random.Random(6), 12)))
@@ -267,17 +349,19 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert got == brute_links(texts)
 
 
-def test_signatures_under_the_distance_share_a_key():
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_signatures_under_the_distance_share_a_key(percent):
+    limit = neardup.Limit(percent)
     rng = np.random.default_rng(7)
     a = rng.integers(0, 256, (200, neardup.LONG), dtype=np.uint8)
     b = a.copy()
     for row in b:
-        at = rng.choice(neardup.CHUNKS * neardup.SLOTS, neardup.DISTANCE - 1, replace=False)
+        at = rng.choice(limit.chunks * neardup.SLOTS, limit.distance - 1, replace=False)
         row[at] += 1
-    x, y = neardup.chunk_keys(a), neardup.chunk_keys(b)
+    x, y = neardup.chunk_keys(a, limit.chunks), neardup.chunk_keys(b, limit.chunks)
     shared = x == y
     assert shared.any(axis=1).all()
-    assert [neardup.first_shared(p, q[None])[0] for p, q in zip(a, b, strict=True)] == shared.argmax(axis=1).tolist()
+    assert [neardup.first_shared(p, q[None], limit.chunks)[0] for p, q in zip(a, b, strict=True)] == shared.argmax(axis=1).tolist()
 
 
 def test_long_words_and_blocks_hash_alike(monkeypatch):
@@ -341,7 +425,8 @@ def test_quality_shrinks_sparse_sites(spark):
     got = {r["doc_id"]: r for r in quality.classify(d.withColumn("host", F.lit(1)), labels).collect()}
     assert len(got) == len(rows) and got[0]["keep"] and not got[101]["keep"]
     overall = sum(r["evidence"] for r in got.values()) / len(got)
-    assert got[101]["prior"] < overall < got[500]["prior"] < got[500]["evidence"]
+    # a document by itself has no prior but the overall one: its own evidence isn't counted twice
+    assert got[101]["prior"] < overall < got[0]["prior"] and got[500]["prior"] == pytest.approx(overall)
     assert quality.keep_good(d, labels).columns == d.columns
     none = labels.limit(0)
     assert quality.keep_good(d, none).count() == len(rows) and quality.classify(d.limit(0), none).count() == 0
@@ -456,3 +541,12 @@ def test_mixing(spark):
     assert mixing.mix(d, {"big": 1.0}).filter("source = 'small'").count() == 0 and mixing.mix(d.limit(0)).count() == 0
     huge = mixing.source_rates(d, {"small": 1.0}).filter("rate > 0").first()
     assert len(huge["cdf"]) > huge["rate"] and abs(huge["cdf"][-1] - 1) < 1e-9
+
+
+def test_large_rates_draw_the_right_mean(spark):
+    rows = [(i, "x" * (10 if i % 2 else 1), "en", "few" if i < 6 else "many", 0) for i in range(4000)]
+    rates = {r["__source"]: r for r in mixing.source_rates(spark.createDataFrame(rows, SCHEMA), {"few": 0.9999, "many": 0.0001}).collect()}
+    few = rates["few"]
+    assert few["rate"] > 500 and few["first"] > 0 and len(few["cdf"]) < 30 * math.sqrt(few["rate"]) + 100 and few["cdf"][-1] == pytest.approx(1, abs=1e-9)
+    mean = sum((few["first"] + k) * (p - q) for k, (p, q) in enumerate(zip(few["cdf"], [0, *few["cdf"]], strict=False)))
+    assert mean == pytest.approx(few["rate"], rel=1e-6)

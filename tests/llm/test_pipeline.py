@@ -24,7 +24,7 @@ def test_stages(spark):
     keep = {r["doc_id"] for r in quality.classify(docs, labels).filter("keep").collect()}
     assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == keep and 0 < len(keep) < docs.count()
     once = stages["minhash_near_dedup"](spark, good, SF).cache()
-    links = brute_links([(r["doc_id"], r["text"]) for r in good.collect()])
+    links = brute_links([(r["doc_id"], r["text"]) for r in good.collect()], 80)
     assert once.columns == docs.columns and sorted(r["doc_id"] for r in once.collect()) == sorted(i for i, (_, c) in links.items() if i == c)
     mixed = stages["mixing_sources"](spark, once, SF).cache()
     assert mixed.columns == docs.columns and Counter(r["doc_id"] for r in mixed.collect()) == Counter(r["doc_id"] for r in mixing.mix(once).collect())
@@ -42,7 +42,7 @@ def test_run_is_the_stages_in_turn(spark):
 def test_odd_rows(spark, stage, tmp_path):
     rng = random.Random(1)
     rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (None, "x y", "en", "a", 3), (3, "same words here in a row", "en", "a", 1), (3, "same words here in a row", "en", "a", 1), (4, " ".join(str(rng.random()) for _ in range(3000)), "en", "b", 1)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("key", F.lit(1))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("key", "__key", "__doc", "__row", "__rate", "__replica")})
     spark.createDataFrame([(3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     f = dict(corpus_pipeline.STAGES)[stage]
     out = f(spark, d, str(tmp_path))
