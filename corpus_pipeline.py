@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import bpe, mixing, neardup, quality
-from gristmill.llm.common import kept, table
+from gristmill.llm.common import free_name, kept, table
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +17,15 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id."""
-    return neardup.keep_first(docs)
+    """One document of each group of near duplicates (a similarity of 0.8 or more) stays, that of the smallest doc_id."""
+    return neardup.keep_first(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated or thinned out towards the square root of their size; all rows are shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    own = {c: free_name(docs, f"own{c}") for c in docs.columns if c.startswith("__")}  # mix() gives columns of such names
+    mixed = mixing.mix(docs.withColumnsRenamed(own)).withColumnsRenamed({c: f"mixed{c}" for c in ("__rate", "__replica", "__key")})
+    return mixed.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
