@@ -55,9 +55,10 @@ def src_text_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.union(table(spark, sf_dir, "documents").select(F.concat(F.lit("passage:"), F.col("doc_id"), F.lit(":0")), F.substring("text", 1, 100)))
 
 
-BM25_SQL = f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
+INDEX_SQL = f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
 c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS avgdl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, c),
-mean AS (SELECT avg(raw) AS mean FROM raw), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean),
+mean AS (SELECT avg(raw) AS mean FROM raw), idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean)"""
+BM25_SQL = f"""{INDEX_SQL},
 q AS (SELECT item_id AS query, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT query, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), c GROUP BY ALL),
 z AS (SELECT b.item_id AS query, d.doc_id, coalesce(s.score, 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN s ON s.query = b.item_id AND s.doc_id = d.doc_id)"""
@@ -73,7 +74,7 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return kept(postings, "postings"), kept(terms, "terms")
 
 
-@query("op_bm25_index", f"{BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("op_bm25_index", f"{INDEX_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def op_bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir)[1].withColumn("idf", F.round("idf", 6))
 
@@ -136,8 +137,14 @@ h0 AS (SELECT query, node_id FROM l WHERE place <= 50), h1 AS (SELECT DISTINCT q
 k AS (SELECT query, node_id, min(d) AS d FROM (SELECT *, 0 AS d FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL)"""
 
 
+def walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seeds, nodes and the edges that are walked."""
+    return win_topk_seeds(spark, sf_dir), nodes(spark, sf_dir), edges(spark, sf_dir).filter("type = 'Relation'")
+
+
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.khop(win_topk_seeds(spark, sf_dir), edges(spark, sf_dir).filter("type = 'Relation'"), 2)
+    seeds, _, arcs = walk(spark, sf_dir)
+    return gr.khop(seeds, arcs, 2)
 
 
 @query("op_khop", f"{KHOP_SQL} SELECT * FROM k")
@@ -152,19 +159,20 @@ def jn_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op_khop_passage", f"{KHOP_SQL}, p AS (SELECT query, file_id::VARCHAR AS file_id, max(1 / (1 + d)) AS s FROM k JOIN n USING (node_id) WHERE file_id IS NOT NULL GROUP BY ALL) SELECT query, file_id, rank, round(s / max(s) OVER (PARTITION BY query), 6) AS score FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY s DESC, file_id) - 1)::INTEGER AS rank FROM p) WHERE rank < 10")
 def op_khop_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.passages_near(walked(spark, sf_dir), nodes(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+    return gr.passages_near(*walk(spark, sf_dir), 2, 10).withColumn("score", F.round("score", 6))
 
 
 @query("op_khop_triple", f"{KHOP_SQL}, t AS (SELECT h.query, '[' || a.type || '] ' || a.label || ' --[' || relation || ']--> [' || b.type || '] ' || b.label AS triple, max(1 / (1 + h.d + t.d)) AS s FROM e JOIN k h ON h.node_id = src JOIN k t ON t.node_id = dst AND t.query = h.query JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE a.type <> 'concept' AND b.type <> 'concept' GROUP BY ALL) SELECT query, triple, rank, round(s / max(s) OVER (PARTITION BY query), 6) AS score FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY s DESC, triple) - 1)::INTEGER AS rank FROM t) WHERE rank < 10")
 def op_khop_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.triples_near(walked(spark, sf_dir), nodes(spark, sf_dir), edges(spark, sf_dir).filter("type = 'Relation'"), 10).withColumn("score", F.round("score", 6))
+    return gr.triples_near(*walk(spark, sf_dir), 2, 10).withColumn("score", F.round("score", 6))
 
 
 @query("lim_topk_bridge", f"{KHOP_SQL}, p AS (SELECT query, file_id, max(1 / (1 + d)) AS s FROM k JOIN n USING (node_id) WHERE file_id IS NOT NULL AND file_id % 3 <> 0 GROUP BY ALL) SELECT query, file_id::VARCHAR AS file_id, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY s DESC, file_id::VARCHAR) - 1)::INTEGER AS rank FROM p) WHERE rank < 5")
 def lim_topk_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joins first, so that the limit counts what was found."""
     known = nodes(spark, sf_dir).filter("file_id % 3 <> 0")
-    return gr.passages_near(walked(spark, sf_dir), known, 5).select("query", "file_id", "rank")
+    seeds, _, arcs = walk(spark, sf_dir)
+    return gr.passages_near(seeds, known, arcs, 2, 5).select("query", "file_id", "rank")
 
 
 @query("op_ppr")

@@ -164,3 +164,51 @@ def test_resume(spark, tmp_path):
     spark.createDataFrame([(1, "again"), (3, "c"), (3, "c")], "id long, v string").write.mode("append").parquet(str(tmp_path / "in"))
     done, failed = process_new(*args)
     assert sorted(tuple(r) for r in done.collect()) == [(1, "A"), (3, "C")] and [r["id"] for r in failed.collect()] == [2]
+
+
+def test_walks_stop_early_with_the_same_rows(spark):
+    import random
+
+    draw = random.Random(5)
+    names = [f"v{i}" for i in range(60)]
+    arcs = sorted({(a, b) for a, b in ((draw.choice(names), draw.choice(names)) for _ in range(90)) if a != b})
+    e = spark.createDataFrame([(a, b, "r") for a, b in arcs], "src string, dst string, relation string")
+    kind = {v: ("entity", "event", "concept")[i % 3] for i, v in enumerate(names)}
+    n = spark.createDataFrame([(v, v.upper(), kind[v], i % 9) for i, v in enumerate(names)], "node_id string, label string, type string, file_id int")
+    start = {q: draw.sample(names, q) for q in (1, 2, 8)} | {9: ["nowhere"]}
+    seeds = spark.createDataFrame([(q, v) for q, vs in start.items() for v in vs], "query int, node_id string")
+    passages, triples = set(), set()
+    for q, vs in start.items():
+        d = dict.fromkeys(vs, 0)
+        for hop in (1, 2):
+            for a, b in arcs:
+                for x, y in ((a, b), (b, a)):
+                    if d.get(x) == hop - 1 and y not in d:
+                        d[y] = hop
+        files = {}
+        for v, far in d.items():
+            if v in kind:
+                f = str(names.index(v) % 9)
+                files[f] = min(files.get(f, 9), far)
+        passages |= {(q, f, i) for i, (f, _) in enumerate(sorted(files.items(), key=lambda x: (x[1], x[0]))[:4])}
+        found = [(d[a] + d[b], f"[{kind[a]}] {a.upper()} --[r]--> [{kind[b]}] {b.upper()}") for a, b in arcs if a in d and b in d and "concept" not in (kind[a], kind[b])]
+        triples |= {(q, t, i) for i, (_, t) in enumerate(sorted(found)[:4])}
+    assert {(r["query"], r["file_id"], r["rank"]) for r in graph.passages_near(seeds, n, e, 2, 4).collect()} == passages
+    assert {(r["query"], r["triple"], r["rank"]) for r in graph.triples_near(seeds, n, e, 2, 4).collect()} == triples
+    assert len(triples) > 4
+
+
+def test_pagerank_keeps_blocks_and_lone_seeds_apart(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    queries = range(2 * graph.ABREAST + 3)
+    rows = [(q, "a", 1.0 + q) for q in queries] + [(q, "alone", 2.0) for q in queries if q % 2]
+    got = {(r["query"], r["node_id"]): r["rank"] for r in graph.pagerank(spark.createDataFrame(rows, "query int, node_id string, weight double"), e, rounds=6).collect()}
+    near = {"a": "b", "b": "ac", "c": "b", "alone": ""}
+    for q in queries:
+        seeds = {n: w for i, n, w in rows if i == q}
+        start = {n: seeds.get(n, 0.0) / sum(seeds.values()) for n in near}
+        rank = start
+        for _ in range(6):
+            moved = {n: sum(0.85 * rank[m] / len(near[m]) for m in near[n]) for n in near}
+            rank = {n: moved[n] + start[n] * (1 - sum(moved.values())) for n in near}
+        assert {n: got.get((q, n), 0.0) for n in near} == pytest.approx(rank)
