@@ -11,6 +11,8 @@ from .common import broadcast_if_small, kept
 
 #: Bytes of the texts at bucket borders that are broadcast at most; beyond, they are joined by a shuffle.
 BORDER_BYTES = 64 << 20
+#: Bytes of text that a range of keys holds on average at most.
+RANGE_BYTES = 128 << 20
 NO_ID = -(1 << 63)
 
 
@@ -43,8 +45,8 @@ def collisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     rows = docs.select(F.coalesce(F.col(key), F.lit(NO_ID)).alias("k"), canonical(F.coalesce(F.col(text), F.lit(""))).alias("canon"))
     marked = kept(rows.select("k", *(h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("canon"))))), "fingerprints")
-    several = marked.groupBy("h0", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    keys = marked.join(several, ["h0", "h1", "h2"], "left_semi").select("k").distinct()
+    several = kept(marked.groupBy("h0", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "buckets")
+    keys = marked.join(broadcast_if_small(several, several.count()), ["h0", "h1", "h2"], "left_semi").select("k").distinct()
     texts = rows.join(broadcast_if_small(keys, keys.count()), "k", "left_semi")
     groups = texts.groupBy(fingerprint(F.col("canon")).alias("fingerprint"), "canon").agg(F.min("k").alias("k"))
     collided = groups.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -75,10 +77,13 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
 
     Rows are dealt to ranges of keys (borders from approximate percentiles, found by two short searches), each ordered
     by itself in one shuffle; only the first text of each range is looked up across ranges. A null text counts as empty.
+    There is a range for each shuffle partition or each RANGE_BYTES of text, whichever are more.
     """
     spark = docs.sparkSession
     rows = docs.withColumn("__k", F.coalesce(F.col(key), F.lit(NO_ID))).withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    n = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not (n := buckets):
+        volume = rows.agg(F.sum(F.octet_length("__t"))).first()[0] or 0
+        n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // RANGE_BYTES))
     found = rows.select(F.percentile_approx("__k", [i / n for i in range(1, n)], 10 * n).alias("p")).first()["p"] or []
     borders = sorted(set(found))
     step = max(1, math.isqrt(len(borders)))
@@ -93,6 +98,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
     heads = rows.join(F.broadcast(after.select(F.col("__first").alias("__k")).distinct()), "__k", "left_semi").groupBy("__k").agg(F.min("__t").alias("__head"))
     heads = kept(after.join(heads, after["__first"] == heads["__k"]).select("__b", "__head"), "heads")
     size = heads.agg(F.sum(F.octet_length("__head"))).first()[0] or 0
+    rows = rows.repartition(n, "__b")  # as many tasks as ranges, whatever the setting for shuffles
     following = F.lead("__t").over(Window.partitionBy("__b").orderBy("__k", "__t"))
     out = rows.withColumn("__next", following).join(F.broadcast(heads) if size <= BORDER_BYTES else heads, "__b", "left")
     return out.withColumn(name, F.coalesce("__next", "__head")).drop("__k", "__t", "__b", "__c", "__next", "__head")
