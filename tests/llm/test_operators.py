@@ -550,3 +550,14 @@ def test_large_rates_draw_the_right_mean(spark):
     assert few["rate"] > 500 and few["first"] > 0 and len(few["cdf"]) < 30 * math.sqrt(few["rate"]) + 100 and few["cdf"][-1] == pytest.approx(1, abs=1e-9)
     mean = sum((few["first"] + k) * (p - q) for k, (p, q) in enumerate(zip(few["cdf"], [0, *few["cdf"]], strict=False)))
     assert mean == pytest.approx(few["rate"], rel=1e-6)
+
+
+def test_next_text_over_ranges_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 64)
+    rows = [(i * 7 % 50, f"text {i} " + "x" * (i % 9 * 20)) for i in range(50)] + [(3, "twin"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted((fingerprint.NO_ID if k is None else k, t or "") for k, t in rows)
+    want = sorted((k, t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
+    got = fingerprint.with_next(docs).collect()
+    assert sorted((fingerprint.NO_ID if r["doc_id"] is None else r["doc_id"], r["text"] or "", r["next_text"]) for r in got) == want
+    assert fingerprint.with_next(docs.limit(0)).collect() == [] and fingerprint.edited_pairs(docs.limit(0)).collect() == []
