@@ -258,7 +258,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, heads: DataFrame, limit: Limit)
     pairs = kept(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     needed = broadcast_if_small(needed, needed.count(), 2_000_000)
-    sets = sets_of(docs.join(needed, "id", "left_semi")).join(heads.select("id", "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"])
+    sets = sets_of(docs.join(needed, "id", "left_semi")).join(heads.select("id", "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id", "whole"])
     sets = kept(sets.drop("whole"), "sets")
     left, right = sets.select(F.col("id").alias("a"), "n", F.col("shingles").alias("s")), sets.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))
@@ -342,7 +342,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     then, in buckets that still hold several components, the members of different ones are compared by size, bitmap
     and longer signature, in blocks of bounded size, and what may be a link is confirmed on full sets too. A text
     without words (or null) has an empty set and links with nothing, also not with its repeats. Repeated rows of a key
-    are one document to the links; a null key links with nothing and is its own component (null, kept).
+    are one document to the links: whatever one of its texts links with, the others' partners reach too. A null key
+    links with nothing and is its own component (null, kept).
     """
     spark: SparkSession = docs.sparkSession
     limit = Limit(percent)
@@ -351,14 +352,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows = kept(sketches(docs), "sketches")
     full = rows.filter("n > 0 and id is not null")
     classes = kept(full.groupBy("n", "whole").agg(F.min("id").alias("class"), F.count("*").alias("copies")), "sets-of-copies")
-    one = classes.groupBy("class").agg(F.min("whole").alias("whole"))  # a key repeated with several texts stands for one
-    heads = kept(full.join(one.withColumnRenamed("class", "id"), ["id", "whole"], "left_semi").dropDuplicates(["id"]), "classes")
+    held = classes.select(F.col("class").alias("id"), "n", "whole")  # a key repeated with several texts may hold several classes
+    heads = kept(full.join(held, ["id", "n", "whole"], "left_semi").dropDuplicates(["id", "whole"]), "classes")
     keys = keys_of(heads, limit.chunks)
     buckets = keys.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("size")).filter("size > 1")
     shared = kept(keys.join(buckets, "bucket").select("bucket", "slot", "id", "least", "size"), "buckets")
     slim = heads.select("id", "n", "sign", "bits")
     stars = shared.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = confirmed(sieved(stars, slim, limit), docs, heads, limit)
+    links = links.union(several_texts(full, classes))
     links = links.union(confirmed(residual(shared, components(links), slim, spark, limit), docs, heads, limit))
     found = components(links)
     comps = found.withColumnsRenamed({"id": "class", "component": "__component"})
@@ -368,6 +370,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return member.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def several_texts(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): keys that occur with several texts, and the keys that hold these texts' classes."""
+    several = full.groupBy("id").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("lo <> hi").select("id")
+    texts = kept(full.select("id", "n", "whole").join(several, "id", "left_semi").distinct(), "several-texts")
+    return texts.join(classes, ["n", "whole"]).filter("id <> class").select(F.greatest("id", "class").alias("a"), F.least("id", "class").alias("b"))
+
+
 def with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """rows(id, n, whole) with __component of their class in classes(n, whole, copies, __component).
 

@@ -311,6 +311,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {(r["doc_id"], r["component_id"]) for r in null} == {(None, None), (1, 1)}
 
 
+def test_a_key_with_several_texts_links_by_each(spark):
+    base = [f"b{i}" for i in range(120)]
+    one, other, near = " ".join(f"a{i}" for i in range(60)), " ".join(base), " ".join([*base[:-1], "else"])
+    texts = [(5, one), (5, other), (8, other), (9, other), (7, near), (4, one + " more"), (6, "quite another text of six words"), (3, None)]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, texts * 2)).collect()}
+    assert got == {(i, 4) for i in (4, 5, 7, 8, 9)} | {(6, 6), (3, 3)}
+    assert sorted(r["doc_id"] for r in neardup.keep_first(docs(spark, texts[::-1])).collect()) == [3, 4, 6]
+
+
 def test_lower_limits_link_more(spark):
     rng, texts = random.Random(16), []
     for _ in range(60):  # pairs between 0.75 and 0.9
