@@ -122,10 +122,10 @@ def date_in(text: Column) -> Column:
 
 
 def known(text: Column, names: dict[str, str]) -> Column:
-    """The name whose key the text is, or the longest key it contains, in any case."""
-    t = F.lower(F.trim(text))
-    exact = [(t == k, v) for k, v in names.items()]
-    inside = [(F.contains(t, F.lit(k)), v) for k, v in sorted(names.items(), key=lambda x: (-len(x[0]), x[0]))]
+    """The name whose key the text is, or the longest key it contains, in any case; BarraDoSul counts as Barra Do Sul too."""
+    t, apart = F.lower(F.trim(text)), F.lower(F.regexp_replace(text, r"(?<=[a-z])(?=[A-Z])", " "))
+    exact = [((t == k) | (apart == k), v) for k, v in names.items()]
+    inside = [(F.contains(t, F.lit(k)) | F.contains(apart, F.lit(k)), v) for k, v in sorted(names.items(), key=lambda x: (-len(x[0]), x[0]))]
     out = F.lit(None).cast("string")
     for condition, value in reversed(exact + inside):
         out = F.when(condition, value).otherwise(out)
@@ -142,12 +142,22 @@ def person(text: Column, names: dict[str, str]) -> Column:
     return out
 
 
+def clean_name(name: Column) -> Column:
+    """A person's name without trailing numbers and marks around it; null for what holds digits or, of several words, a lower-case one."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"^[ \-_,.]+|[ \-_,.]+$", ""), r"(?U)\s+\d+$", "")
+    bare = F.regexp_replace(bare, r"[ \-_,.]+$", "")
+    parts = F.split(bare, r"(?U)\s+")
+    small = F.exists(parts, lambda w: (F.length(w) > 2) & ~F.startswith(w, F.lit("D.")) & F.rlike(w, F.lit(r"^\p{Ll}")))
+    return F.when((bare != "") & ~F.rlike(bare, F.lit(r"(?U)\d")) & ((F.size(parts) == 1) | ~small), bare)
+
+
 def from_file_name(name: Column, people: dict[str, str], places: dict[str, str]) -> Column:
     """struct(device, date, sequence_label, sequence_number, researcher, location, participant) of a recording's name.
 
     A device in brackets, names cameras give (nothing else in them), video timestamps, part labels, trailing numbers
     and dates are taken off in turn; what is left is split at underscores, or else at dashes, and matched with known
-    people and places; the first other piece is the participant.
+    people and places; the first other piece is the participant, but of two such pieces between dashes the first is the
+    researcher where none is known.
     """
     none, empty = F.lit(None).cast("string"), F.lit("")
     stem = F.regexp_replace(name, r"\.[^.]+$", "")
@@ -163,7 +173,8 @@ def from_file_name(name: Column, people: dict[str, str], places: dict[str, str])
     stem = F.when(number.isNotNull(), F.regexp_replace(F.regexp_replace(stem, r"[\s_\-]+\d{1,2}\s*$", ""), r"[\s_\-]+$", "")).otherwise(stem)
     date = date_in(stem)
     stem = F.when(date.isNotNull(), F.regexp_replace(F.replace(stem, date, empty), r"^[\s_\-]+|[\s_\-]+$", "")).otherwise(stem)
-    pieces = F.when(F.contains(stem, F.lit("_")), F.split(stem, "_")).otherwise(F.split(stem, r"\s*-\s*"))
+    dashes = ~F.contains(stem, F.lit("_"))
+    pieces = F.when(dashes, F.split(stem, r"\s*-\s*")).otherwise(F.split(stem, "_"))
     pieces = F.transform(pieces, lambda p: F.trim(p))
     dashed = r"^\d{2}-\d{2}-\d{2,4}$"  # after an underscore, where no word begins, a date is a piece of its own
     date = F.coalesce(date, F.get(F.filter(pieces, lambda p: F.rlike(p, F.lit(dashed))), F.lit(0)))
@@ -171,10 +182,12 @@ def from_file_name(name: Column, people: dict[str, str], places: dict[str, str])
     who, where = F.transform(pieces, lambda p: person(p, people)), F.transform(pieces, lambda p: known(p, places))
     rest = F.filter(pieces, lambda p: person(p, people).isNull() & known(p, places).isNull())
     first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), F.lit(0))
+    two = dashes & first(who).isNull() & (F.size(rest) > 1)
+    researcher, participant = F.when(two, F.get(rest, F.lit(0))).otherwise(first(who)), F.get(rest, F.when(two, 1).otherwise(0))
     plain = ~camera & ~video
     only = lambda c: F.when(plain, c).otherwise(none)
     sequence = F.when(video, F.nullif(F.regexp_extract(stem, r"~(\d+)", 1), empty)).when(plain, number)
-    return F.struct(device.alias("device"), F.when(video, video_date).when(plain, date).alias("date"), only(label).alias("sequence_label"), sequence.alias("sequence_number"), only(first(who)).alias("researcher"), only(first(where)).alias("location"), only(F.get(rest, F.lit(0))).alias("participant"))
+    return F.struct(device.alias("device"), F.when(video, video_date).when(plain, date).alias("date"), only(label).alias("sequence_label"), sequence.alias("sequence_number"), only(researcher).alias("researcher"), only(first(where)).alias("location"), only(participant).alias("participant"))
 
 
 def from_path(path: Column, root: str, people: dict[str, str], places: dict[str, str]) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+import logging
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -165,6 +167,34 @@ def gathered(ranked: DataFrame, arm: str, chunk: str) -> DataFrame:
     return ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(chunk).cast("string").alias("chunk_id"), "score"))).alias("passages")).withColumn("arm", F.lit(arm))
 
 
+PASSAGES = "array<struct<rank:int,chunk_id:string,score:double>>"
+
+
+def retrieved(questions: DataFrame, arms: dict[str, Callable[[DataFrame, int], DataFrame]], k: int, done: DataFrame | None = None) -> DataFrame:
+    """(query, arm, passages, elapsed_s, error): each arm's k passages for each of questions(query, text), written arm by arm.
+
+    An arm gets the questions that done(query, arm) doesn't have and gives (query, passages), see gathered(); questions
+    it leaves out have no passages. If an arm fails, its questions have its error and null passages, and the other arms
+    go on. elapsed_s is the whole arm's time, as all its questions run as one job.
+    """
+    if not arms or k < 1:
+        raise ValueError("at least one arm and one passage are needed")
+    out = None
+    for name, arm in arms.items():
+        began = time.monotonic()
+        asked = questions if done is None else questions.join(done.filter(F.col("arm") == name), "query", "left_anti")
+        error = F.lit(None).cast("string")
+        try:
+            passages = kept(arm(asked, k).select("query", F.col("passages").cast(PASSAGES)), f"passages-{name}")
+            rows = asked.select("query").join(passages, "query", "left").withColumn("passages", F.coalesce("passages", F.array().cast(PASSAGES)))
+        except Exception as e:  # whatever an arm may fail by, the others' answers are wanted
+            logging.getLogger(__name__).exception("arm %s failed", name)
+            rows, error = asked.select("query", F.lit(None).cast(PASSAGES).alias("passages")), F.lit(f"{type(e).__name__}: {e}"[:500])
+        rows = rows.select("query", F.lit(name).alias("arm"), "passages", F.lit(time.monotonic() - began).alias("elapsed_s"), error.alias("error"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def located(passages: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """passages(key, passage_id, needle) with start and end in their source: exactly, else with white space folded, else null."""
     joined = passages.join(docs.select(key, F.col("text").alias("__text")), key, "left")

@@ -174,9 +174,10 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"f": px.from_file_name(F.col("name"), PEOPLE, PLACES), "p": px.from_path(path, "MEDIA", PEOPLE, PLACES)})
 
 
-@query("fn_meta_filename", "SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN 'Tablet' END AS device, CASE doc_id % 6 WHEN 0 THEN '03-0' || (doc_id % 9 + 1) || '-2024' WHEN 1 THEN (10 + doc_id % 19) || '-11-24' WHEN 2 THEN (10 + doc_id % 19) || '-11-2024' WHEN 5 THEN '5 de out' END AS date, CASE WHEN doc_id % 6 = 4 THEN 'Parte II' END AS sequence_label, CASE doc_id % 6 WHEN 0 THEN (10 + doc_id % 80)::VARCHAR WHEN 1 THEN '24' WHEN 2 THEN '3' END AS sequence_number, CASE doc_id % 6 WHEN 0 THEN 'Ana Costa' WHEN 1 THEN 'Bruno Dias' END AS researcher, CASE doc_id % 6 WHEN 0 THEN 'Porto Velho' WHEN 5 THEN 'Serra' END AS location, CASE doc_id % 6 WHEN 0 THEN 'D.Lia' WHEN 1 THEN 'Dona Rita' WHEN 4 THEN 'Seu Joel' WHEN 5 THEN 'Lia' END AS participant FROM documents WHERE doc_id % 6 <> 1")
+@query("fn_meta_filename", "SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN 'Tablet' END AS device, CASE doc_id % 6 WHEN 0 THEN '03-0' || (doc_id % 9 + 1) || '-2024' WHEN 2 THEN (10 + doc_id % 19) || '-11-2024' WHEN 5 THEN '5 de out' END AS date, CASE WHEN doc_id % 6 = 4 THEN 'Parte II' END AS sequence_label, CASE doc_id % 6 WHEN 0 THEN (10 + doc_id % 80)::VARCHAR WHEN 1 THEN '24' WHEN 2 THEN '3' END AS sequence_number, CASE doc_id % 6 WHEN 0 THEN 'Ana Costa' WHEN 1 THEN 'Bruno Dias' END AS researcher, CASE doc_id % 6 WHEN 0 THEN 'Porto Velho' WHEN 5 THEN 'Serra' END AS location, CASE doc_id % 6 WHEN 0 THEN 'D.Lia' WHEN 1 THEN 'Dona Rita ' || (10 + doc_id % 19) WHEN 4 THEN 'Seu Joel' WHEN 5 THEN 'Lia' END AS participant FROM documents")
 def fn_meta_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return named(spark, sf_dir).filter("doc_id % 6 <> 1").select("doc_id", "f.*")
+    """The last two digits of a dashed date at the end count as a number, as they are taken off first; the date goes with them."""
+    return named(spark, sf_dir).select("doc_id", "f.*")
 
 
 @query("fn_meta_path", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Porto Velho' END AS location, CASE WHEN doc_id % 2 = 0 THEN 'Entrevista D. Lia ' || (10 + doc_id % 19) || '-11-2024 Porto' END AS event_context, CASE WHEN doc_id % 2 = 0 THEN (10 + doc_id % 19) || '-11-2024' END AS date, CASE WHEN doc_id % 2 = 0 THEN 'D. Lia' END AS participant FROM documents")
@@ -184,15 +185,31 @@ def fn_meta_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named(spark, sf_dir).select("doc_id", "p.location", "p.event_context", "p.date", "p.participant")
 
 
-@query("fn_meta_merge", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Porto Velho' WHEN 5 THEN 'Serra' WHEN 2 THEN 'Porto Velho' WHEN 4 THEN 'Porto Velho' END AS location, CASE doc_id % 6 WHEN 0 THEN 'D.Lia' WHEN 4 THEN 'Seu Joel' WHEN 5 THEN 'Lia' WHEN 2 THEN 'D. Lia' END AS participant, CASE doc_id % 6 WHEN 0 THEN 1.0 WHEN 2 THEN 0.75 WHEN 3 THEN 0.25 WHEN 4 THEN 0.75 WHEN 5 THEN 0.75 END AS confidence FROM documents WHERE doc_id % 6 <> 1")
+@query("fn_meta_merge", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Porto Velho' WHEN 5 THEN 'Serra' WHEN 2 THEN 'Porto Velho' WHEN 4 THEN 'Porto Velho' END AS location, CASE doc_id % 6 WHEN 0 THEN 'D.Lia' WHEN 4 THEN 'Seu Joel' WHEN 5 THEN 'Lia' WHEN 1 THEN 'Dona Rita' WHEN 2 THEN 'D. Lia' END AS participant, CASE doc_id % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.75 WHEN 3 THEN 0.25 WHEN 4 THEN 0.75 WHEN 5 THEN 0.75 END AS confidence FROM documents")
 def fn_meta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The file's name first, its path for what is missing, the catalog's date last."""
+    """The file's name first, its path for what is missing, the catalog's date last; then people's names are cleaned."""
+    person = lambda c: px.clean_name(pick(c))
     pick = lambda c: F.coalesce(F.col(f"f.{c}"), F.col(f"p.{c}"))
     date = F.coalesce(pick("date"), F.lit("2024-11-01"))
-    return named(spark, sf_dir).filter("doc_id % 6 <> 1").select("doc_id", pick("location").alias("location"), pick("participant").alias("participant"), px.confidence(pick("researcher"), pick("participant"), pick("location"), date).alias("confidence"))
+    return named(spark, sf_dir).select("doc_id", pick("location").alias("location"), person("participant").alias("participant"), px.confidence(person("researcher"), person("participant"), pick("location"), date).alias("confidence"))
 
 
 @query("fn_meta_date", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '03-11-2024' WHEN 1 THEN '15 de out' WHEN 2 THEN '20.05' END AS date FROM pages")
 def fn_meta_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("CASE page_id % 4 WHEN 0 THEN 'a 15 de out 03-11-2024 b' WHEN 1 THEN 'em 20.05, 15 de out x' WHEN 2 THEN 'dia 20.05 ok' ELSE 'sem data' END")
     return table(spark, sf_dir, "pages").select("page_id", px.date_in(text).alias("date"))
+
+
+SAID_NAMES = "CASE p_partkey % 8 WHEN 0 THEN 'Dona Gilda 1' WHEN 1 THEN 'Problemas urbanos' WHEN 2 THEN '2025VID' WHEN 3 THEN ' - Ana, ' WHEN 4 THEN 'D.lia da Silva' WHEN 5 THEN ' -_' WHEN 6 THEN 'bruno' END"
+
+
+@query("fn_meta_sanitize", "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Dona Gilda' WHEN 3 THEN 'Ana' WHEN 4 THEN 'D.lia da Silva' WHEN 6 THEN 'bruno' END AS name FROM part")
+def fn_meta_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", px.clean_name(F.expr(SAID_NAMES)).alias("name"))
+
+
+@query("fn_meta_match", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Porto Velho' WHEN 1 THEN 'Serra' WHEN 2 THEN 'Porto Velho' END AS place FROM part")
+def fn_meta_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place as written, within more words, and with its words run together."""
+    text = F.expr("CASE p_partkey % 4 WHEN 0 THEN ' PORTO VELHO ' WHEN 1 THEN 'na Serra do sul' WHEN 2 THEN 'vistaPortoVelho' ELSE 'nowhere' END")
+    return table(spark, sf_dir, "part").select("p_partkey", px.known(text, PLACES).alias("place"))

@@ -184,6 +184,16 @@ def op_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.ranked(scored, "file_id", 10)
 
 
+@query("op_ppr_grounding", f"{LINK_SQL}, e AS (SELECT query, count(*) AS n FROM l JOIN n USING (node_id) WHERE place <= 50 AND type = 'event' GROUP BY 1) SELECT query, CASE WHEN query % 100 = 0 AND e.n > 0 THEN 'edge_filter' WHEN query IN (SELECT query FROM l) THEN 'node_fallback' ELSE 'ungrounded' END AS seed_path, (SELECT count(*) FROM l JOIN n USING (node_id) WHERE l.query = a.query AND place <= 50 AND (a.query % 100 <> 0 OR coalesce(e.n, 0) = 0 OR type = 'event')) AS seeds FROM ({ASK_SQL}) a LEFT JOIN e USING (query)")
+def op_ppr_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each question comes by its seeds: by linked events, which a stub filter accepts for every second question, else by all linked nodes."""
+    asked_ = asked(spark, sf_dir)
+    linked = op.link_entities(asked_, nodes(spark, sf_dir)).select("query", "node_id", "weight")
+    accepted = linked.join(nodes(spark, sf_dir).filter("type = 'event'"), "node_id", "left_semi").filter("query % 100 = 0")
+    seeds, how = gr.grounded(asked_, (("edge_filter", accepted), ("node_fallback", linked)))
+    return how.join(seeds.groupBy("query").agg(F.count("*").alias("seeds")), "query", "left").fillna(0, ["seeds"])
+
+
 @query("op_ann_seed", "WITH p AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 50 = 0) SELECT query, vec_id, (row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) - 1)::INTEGER AS rank FROM (SELECT query, vec_id, round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 6) AS s FROM p, embeddings WHERE vec_id <> query) QUALIFY rank < 5")
 def op_ann_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
@@ -196,11 +206,16 @@ def op_null_retriever(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).withColumn("passages", empty).select("query", F.size("passages").alias("passages"), F.lit("null").alias("arm"))
 
 
-@query("op_retrieve_batch", f"{BM25_SQL} SELECT query, 'bm25' AS arm, least(count(*), 5) AS passages FROM z GROUP BY query UNION ALL SELECT item_id, 'null', 0 FROM benchmark")
+@query("op_retrieve_batch", f"{BM25_SQL} SELECT query, 'bm25' AS arm, least(count(*), 5) AS passages FROM z GROUP BY query UNION ALL SELECT item_id, 'null', 0 FROM benchmark UNION ALL SELECT item_id, 'broken', NULL FROM benchmark")
 def op_retrieve_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each arm's passages for each question, as arrays."""
-    arm = op.gathered(op.bm25(questions(spark, sf_dir), index(spark, sf_dir), "doc_id", 5, table(spark, sf_dir, "documents")), "bm25", "doc_id")
-    return arm.select("query", "arm", F.size("passages").alias("passages")).unionByName(op_null_retriever(spark, sf_dir).select("query", "arm", "passages"))
+    """Each arm's passages for each question, as arrays; an arm that fails doesn't stop the others."""
+    docs = table(spark, sf_dir, "documents")
+    arms = {
+        "bm25": lambda asked, k: op.gathered(op.bm25(asked, index(spark, sf_dir), "doc_id", k, docs), "bm25", "doc_id"),
+        "null": lambda asked, k: asked.select("query", F.array().cast(op.PASSAGES).alias("passages")),
+        "broken": lambda asked, k: asked.select("query", "no_such_column"),
+    }
+    return op.retrieved(questions(spark, sf_dir), arms, 5).select("query", "arm", F.size("passages").alias("passages"))
 
 
 @query("op_link_passages", "SELECT how, count(*) AS n FROM (SELECT CASE WHEN strpos(text, needle) > 0 THEN 'exact' ELSE 'unmatched' END AS how FROM (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN 'zzz ' || substring(text, 1, 20) ELSE substring(text, 21, 60) END AS needle FROM documents) WHERE needle <> '') GROUP BY how")

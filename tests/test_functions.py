@@ -131,6 +131,29 @@ def test_khop_and_pagerank(spark):
     assert got == pytest.approx({k: v for k, v in rank.items() if v or k in got})
 
 
+def test_seeds_come_from_the_first_path_with_any(spark):
+    seeds = lambda *rows: spark.createDataFrame(rows, "query int, node_id string, weight double")
+    asked = spark.createDataFrame([(1,), (2,), (3,), (4,)], "query int")
+    got, how = graph.grounded(asked, (("edge_filter", seeds((1, "a", 1.0), (2, "a", 0.0))), ("node_fallback", seeds((1, "b", 1.0), (2, "b", 2.0), (3, "c", 0.0)))))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", 1.0), (2, "b", 2.0)]
+    assert {tuple(r) for r in how.collect()} == {(1, "edge_filter"), (2, "node_fallback"), (3, "ungrounded"), (4, "ungrounded")}
+    held = graph.attributed(spark.createDataFrame([("x", "f1,concept_file,f1, f2"), ("y", "concept_file"), ("z", None)], "node_id string, file_id string"))
+    assert {tuple(r) for r in held.collect()} == {("x", "f1"), ("x", "f2")}
+
+
+def test_a_failing_arm_leaves_the_others(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query int, text string")
+    one = lambda q, k: q.filter("query <> 2").selectExpr("query", "array(named_struct('rank', 0, 'chunk_id', 'x', 'score', 1D)) AS passages")
+    bad = lambda q, k: q.selectExpr("query", "raise_error('down') AS passages")
+    done = spark.createDataFrame([(3, "good")], "query int, arm string")
+    rows = retrieval.retrieved(asked, {"bad": bad, "good": one}, 5, done).collect()
+    assert {(r["query"], r["arm"], None if r["passages"] is None else len(r["passages"])) for r in rows} == {(1, "bad", None), (2, "bad", None), (3, "bad", None), (1, "good", 1), (2, "good", 0)}
+    assert all((r["error"] is not None) == (r["arm"] == "bad") and r["elapsed_s"] >= 0 for r in rows)
+    for arms, k in (({}, 5), ({"good": one}, 0)):
+        with pytest.raises(ValueError):
+            retrieval.retrieved(asked, arms, k)
+
+
 def test_fallback(spark):
     q = spark.createDataFrame([(1, "good"), (2, "bad")], "id long, t string")
     got = {r["id"]: (r["answer"], r["attempts"], r["abstained"]) for r in generation.answered(q, "id", lambda t, heat: "yes" if t == "good" and heat > 0.05 else None, "t").collect()}
