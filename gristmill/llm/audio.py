@@ -259,8 +259,10 @@ def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     return spark.read.schema(out.schema).parquet(path)
 
 
-def read_back(stored: DataFrame, keep: tuple[str, ...] = ("doc_id",), s: Settings = DEFAULT) -> DataFrame:
-    """The columns of audio_features without media, each but n_bytes from what store() has written."""
+def read_back(stored: DataFrame, keep: tuple[str, ...] = ("doc_id",), s: Settings = DEFAULT, tail: int = UNIT) -> DataFrame:
+    """The columns of audio_features without media, each but n_bytes from what store() has written; tail_crc32 is of the last `tail` bytes."""
+    if tail < 1:
+        raise ValueError("at least one byte is needed")
     prepare(stored.sparkSession)
     rows = stored.select(*keep, "n_bytes", "media", "segments", "tensors")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields[: len(keep) + 1])}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -273,7 +275,7 @@ def read_back(stored: DataFrame, keep: tuple[str, ...] = ("doc_id",), s: Setting
                 media = media.as_py()
                 back, _ = from_wave(media)
                 f = features_from_stream(tensors.as_py(), spans.as_py(), len(back), s)
-                found.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), f.digest()))
+                found.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-tail:]), len(media), hashlib.sha256(media).hexdigest(), f.digest()))
             yield pa.RecordBatch.from_arrays(batch.columns[:-3] + [pa.array([r[i] for r in found], types[i]) for i in range(6)], names=[*keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
         release()
 

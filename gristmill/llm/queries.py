@@ -26,8 +26,8 @@ SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as 8-bit audio with its segments and tensors, and what is read back of them."""
-    return audio.read_back(audio.store(table(spark, sf_dir, "documents")))
+    """Every text stored as 8-bit audio with its segments and tensors, and what is read back of them; tail_crc32 is of the last 32 bytes."""
+    return audio.read_back(audio.store(table(spark, sf_dir, "documents")), tail=32)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,18 @@ def test_stored_media_and_tensors_give_the_digests(spark, monkeypatch):
     assert llm_queries.op2_media_columns(spark, SF).count() == seen[0].count() > 0
 
 
+def test_media_query_keeps_its_contract(spark, tmp_path):
+    texts = [*ODD, "b" * 575, "b" * 576, "b" * 577, "é" * 288, "same", "same", words(random.Random(5), 3000)]
+    docs(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        padded = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
+        want.add((i, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:])))
+    got = llm_queries.op2_media_columns(spark, str(tmp_path)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def test_resampling_keeps_a_tone():
     t = np.arange(12000) / 12000
     out = audio.resample(np.sin(2 * np.pi * 300 * t).astype(np.float32), 2, 3, 12)
